@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import sharding, simhash, url_filter
+from tarnlight.llm import sharding, simhash, suffix_dedup, url_filter
 
 
 def queries():
-    return {f.__name__: f for f in (simhash.op2_simhash, url_filter.op4_url_filter, sharding.op8_sharding)}
+    return {f.__name__: f for f in (simhash.op2_simhash, url_filter.op4_url_filter, sharding.op8_sharding, suffix_dedup.op10_suffix_dedup)}
 
 
 def oracle_sql():
