@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tarnlight.llm import sharding, simhash, suffix_dedup, url_filter
+from tarnlight.llm import decontam, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries():
-    return {f.__name__: f for f in (simhash.op2_simhash, url_filter.op4_url_filter, sharding.op8_sharding, suffix_dedup.op10_suffix_dedup)}
+    return {f.__name__: f for f in (simhash.op2_simhash, decontam.op3_decontamination, url_filter.op4_url_filter, toxicity.op6_toxicity, sharding.op8_sharding, suffix_dedup.op10_suffix_dedup)}
 
 
 def oracle_sql():
-    return {"op4_url_filter": url_filter.SQL}
+    return {"op3_decontamination": decontam.SQL, "op4_url_filter": url_filter.SQL}
