@@ -75,6 +75,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     return shared.filter("n_shared >= need").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` without those that hold an item of ``benchmark``. A null doc_id is judged as one more id."""
+    bad = scratch.save(leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 

@@ -53,16 +53,43 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the bits as a signed long) of each row of ``docs(doc_id, text)``."""
+def keep_one(docs: DataFrame, shingle: int, radius: int, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id, and of its rows one.
+
+    The decision is made on ids and fingerprints; a text is met again only by its key, and equal rows are told apart by a
+    number that is fixed with the table of fingerprints' rows.
+    """
+    prints = scratch.save(fingerprints(docs, shingle, keyed=True), "fingerprints")
+    found = scratch.save(grouped(prints, radius, scratch), "groups")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")).alias("one")).select("one.doc_id", "one.k1", "one.k2")
+    best = scratch.save(best, "kept")
+    rows = with_text_key(docs)
+    extra = best.join(prints.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("k1", "j1").withColumnRenamed("k2", "j2"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).isEmpty()
+    chosen = best.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_1"), F.col("k2").alias("_2"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left_semi")
+    if not extra:
+        kept = kept.dropDuplicates(["doc_id", "k1", "k2"])
+    return kept.select(*docs.columns)
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, keyed: bool = False) -> DataFrame:
+    """``doc_id, fp`` (the bits as a signed long) of each row of ``docs(doc_id, text)``; ``keyed``: with the text's key."""
+    names = ["doc_id", "k1", "k2"] if keyed else ["doc_id"]
 
     def run(batches):
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = with_text_key(docs) if keyed else docs
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    return rows.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 @cache
@@ -161,13 +188,17 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs(doc_id, text)``."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, shingle), "fingerprints")
+    return grouped(scratch.save(fingerprints(docs, shingle), "fingerprints"), radius, scratch)
+
+
+def grouped(prints: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """``prints`` with component_id."""
     each = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = scratch.save(links(each.select("fp"), radius, scratch), "links")
     found = scratch.save(components(joined, scratch), "components")
     each = each.join(found, each.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(each.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(each.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select(*prints.columns, "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -289,5 +289,22 @@ def remove(docs: DataFrame, scratch: Scratch | None = None, texts: bool = False)
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "z", "spans").mapInArrow(run, schema)
 
 
+def cleaned(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """All columns of ``docs``, text and n_chars after removal; rows of which nothing is left go, unless they were empty before."""
+    spans = scratch.save(repeats(with_key(docs), scratch), "spans")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text)).join(spans, ["k1", "k2"], "left")
+
+    @F.pandas_udf("string")
+    def left(texts, found):
+        import pandas as pd
+
+        return pd.Series([None if t is None else kept(t.encode(), [(x["s"], x["e"]) for x in y])[0].decode("utf-8", "ignore") for t, y in zip(texts, found, strict=True)], dtype=object)
+
+    same = rows.filter("spans is null").select(*docs.columns)
+    changed = rows.filter("spans is not null").withColumn("text", left("text", "spans")).filter("text <> ''").withColumn("n_chars", F.length("text").cast("long"))
+    return same.unionByName(changed.select(*docs.columns))
+
+
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

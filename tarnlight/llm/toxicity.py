@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnlight.llm.common import Scratch
 
@@ -153,8 +154,8 @@ def train(rows: DataFrame, features: int = FEATURES, penalty: float = PENALTY, i
     return {f: float(v) for f, v in zip(names, w, strict=True) if v}, bias
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """``doc_id, score`` of each row of ``docs``; the model is bounded by its number of features."""
+def with_score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``score`` and the columns ``keep`` (all without it) of ``docs``; the model is bounded by its number of features."""
     weights, bias = model
 
     def run(batches):
@@ -172,9 +173,16 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
                         have.update(f)
                 z = bias + math.fsum(weights[f] for f in have)
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n in names), pa.array(out, pa.float64())], [*names, "score"])
+
+    names = [c for c in docs.columns if c in keep] if keep else docs.columns
+    kinds = StructType([f for f in docs.schema.fields if f.name in names]).add("score", "double")
+    return docs.mapInArrow(run, kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
+    """``doc_id, score`` of each row of ``docs(doc_id, text)``: the texts don't come back."""
+    return with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, ("doc_id",))
 
 
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
