@@ -4,9 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one be
 as Parquet and reads them again. All stages but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier rejects go.
-2. simhash: one document of each group of near copies stays, the one with the smallest doc_id. Fingerprints are taken over
-   five words, like all stages on word shingles, and linked at four or fewer differing bits; a document with no words is
-   linked to its like only.
+2. simhash: one document of each group of near copies stays, the one with the smallest doc_id. Near copies share 0.8 or more
+   of their five-word shingles (Jaccard), found by ball hashing over blocks of a wide SimHash and verified on the shingles;
+   a document with no words is a copy of its like only.
 3. suffix: every 200-byte string that occurs twice or more is removed; what is left of characters cut in two goes too.
    Documents of which nothing is left go, ``n_chars`` is brought up to date where the text changed.
 4. decontamination: documents that hold a benchmark item go.
@@ -14,7 +14,8 @@ as Parquet and reads them again. All stages but the last return the columns of `
 
 Defined results: a null text is non-toxic unless the classifier's intercept says otherwise, counts as a text without words
 and stays null in stage 3. Rows with one and the same doc_id and text are copies: one stays in stage 2. Rows with one
-doc_id and different texts are judged each by their own text.
+doc_id and different texts are judged each by their own text. Empty tables give no rows; further columns of the documents are
+carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -22,33 +23,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import decontam, packing, simhash, suffix_dedup, toxicity
-from tarnlight.llm.common import Scratch
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from tarnlight.llm import decontam, packing, similar, suffix_dedup, toxicity
+from tarnlight.llm.common import Scratch, fresh
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "toxic")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(scratch.save(toxicity.labelled(docs, labels), "labelled"))
-    return toxicity.with_score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+    (score,) = fresh(docs, "score")
+    return toxicity.with_score(docs, model, name=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "near")
-    return simhash.keep_one(docs, shingle=5, radius=4, scratch=scratch).select(*COLUMNS)
+    return similar.keep_one(docs, shingle=5, similarity=0.8, scratch=Scratch(spark, "near"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "repeats")
-    return suffix_dedup.cleaned(docs, scratch).select(*COLUMNS)
+    return suffix_dedup.cleaned(docs, Scratch(spark, "repeats"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "leaks")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontam.clean(docs, benchmark, scratch).select(*COLUMNS)
+    return decontam.clean(docs, benchmark, Scratch(spark, "leaks"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: scratch tables, components."""
+"""What the operators of this subpackage share: scratch tables, free column names, components."""
 
 from __future__ import annotations
 
@@ -52,6 +52,18 @@ class Scratch:
                 delete(self.spark, path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

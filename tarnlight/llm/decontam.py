@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch
+from tarnlight.llm.common import Scratch, fresh
 
 SHINGLE, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 200_000
@@ -77,8 +77,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without those that hold an item of ``benchmark``. A null doc_id is judged as one more id."""
-    bad = scratch.save(leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    (name,) = fresh(docs, "_id")
+    bad = scratch.save(leaks(docs, benchmark, scratch).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

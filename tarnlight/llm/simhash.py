@@ -36,60 +36,40 @@ WEIGHT = 1_000_000
 STEP = 6
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, in order, repeats included."""
     words = (text or b"").lower().split()  # bytes: A-Z alone are lowered, and white space is x20 and x09 to x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def keep_one(docs: DataFrame, shingle: int, radius: int, scratch: Scratch) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id, and of its rows one.
-
-    The decision is made on ids and fingerprints; a text is met again only by its key, and equal rows are told apart by a
-    number that is fixed with the table of fingerprints' rows.
-    """
-    prints = scratch.save(fingerprints(docs, shingle, keyed=True), "fingerprints")
-    found = scratch.save(grouped(prints, radius, scratch), "groups")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")).alias("one")).select("one.doc_id", "one.k1", "one.k2")
-    best = scratch.save(best, "kept")
-    rows = with_text_key(docs)
-    extra = best.join(prints.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("k1", "j1").withColumnRenamed("k2", "j2"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).isEmpty()
-    chosen = best.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_1"), F.col("k2").alias("_2"))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left_semi")
-    if not extra:
-        kept = kept.dropDuplicates(["doc_id", "k1", "k2"])
-    return kept.select(*docs.columns)
-
-
-def with_text_key(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, keyed: bool = False) -> DataFrame:
-    """``doc_id, fp`` (the bits as a signed long) of each row of ``docs(doc_id, text)``; ``keyed``: with the text's key."""
-    names = ["doc_id", "k1", "k2"] if keyed else ["doc_id"]
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """``doc_id, fp`` (the bits as a signed long) of each row of ``docs(doc_id, text)``."""
 
     def run(batches):
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = with_text_key(docs) if keyed else docs
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    return rows.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @cache
@@ -150,14 +130,15 @@ def meeting(width: int, radius: int):
     return group
 
 
-def unfolded(rows: DataFrame, old: int, new: int, half: int) -> DataFrame:
-    """Prefixes of ``old`` bits made ``new`` bits long: each row becomes one for each way to spend its flips there."""
+def unfolded(rows: DataFrame, old: int, new: int, half: int, total: int = 64) -> DataFrame:
+    """Prefixes of ``old`` bits of ``total`` made ``new`` bits long: each row becomes one for each way to spend its flips there."""
     masks, bits = flips(new - old, half)
     table = F.array(*[F.struct(F.lit(int(m)).cast("long").alias("mask"), F.lit(int(n)).alias("cost")) for m, n in zip(masks, bits, strict=True)])
-    own = F.shiftrightunsigned("fp", 64 - new).bitwiseAND((1 << (new - old)) - 1) if new < 64 else F.col("fp").bitwiseAND((1 << (new - old)) - 1)
-    rows = rows.select("key", "left", "fp", F.explode(table).alias("v")).filter("v.cost <= left")
+    own = F.shiftrightunsigned("fp", total - new).bitwiseAND((1 << (new - old)) - 1) if new < total else F.col("fp").bitwiseAND((1 << (new - old)) - 1)
+    rest = [c for c in rows.columns if c not in ("key", "left")]
+    rows = rows.select("key", "left", *rest, F.explode(table).alias("v")).filter("v.cost <= left")
     key = F.shiftleft("key", new - old).bitwiseOR(own.bitwiseXOR(F.col("v.mask")))
-    return rows.select(key.alias("key"), (F.col("left") - F.col("v.cost")).alias("left"), "fp")
+    return rows.select(key.alias("key"), (F.col("left") - F.col("v.cost")).alias("left"), *rest)
 
 
 def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:

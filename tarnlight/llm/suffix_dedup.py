@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch
+from tarnlight.llm.common import Scratch, fresh
 
 LENGTH, GRAM = 200, 100
 TILE = 1 << 20
@@ -291,18 +291,19 @@ def remove(docs: DataFrame, scratch: Scratch | None = None, texts: bool = False)
 
 def cleaned(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """All columns of ``docs``, text and n_chars after removal; rows of which nothing is left go, unless they were empty before."""
-    spans = scratch.save(repeats(with_key(docs), scratch), "spans")
+    k1, k2, found = fresh(docs, "k1", "k2", "spans")
+    spans = scratch.save(repeats(with_key(docs), scratch).toDF(k1, k2, found), "spans")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text)).join(spans, ["k1", "k2"], "left")
+    rows = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit(1), text)).join(spans, [k1, k2], "left")
 
     @F.pandas_udf("string")
-    def left(texts, found):
+    def left(texts, spans):
         import pandas as pd
 
-        return pd.Series([None if t is None else kept(t.encode(), [(x["s"], x["e"]) for x in y])[0].decode("utf-8", "ignore") for t, y in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([None if t is None else kept(t.encode(), [(x["s"], x["e"]) for x in y])[0].decode("utf-8", "ignore") for t, y in zip(texts, spans, strict=True)], dtype=object)
 
-    same = rows.filter("spans is null").select(*docs.columns)
-    changed = rows.filter("spans is not null").withColumn("text", left("text", "spans")).filter("text <> ''").withColumn("n_chars", F.length("text").cast("long"))
+    same = rows.filter(F.col(found).isNull()).select(*docs.columns)
+    changed = rows.filter(F.col(found).isNotNull()).withColumn("text", left("text", found)).filter("text <> ''").withColumn("n_chars", F.length("text").cast("long"))
     return same.unionByName(changed.select(*docs.columns))
 
 

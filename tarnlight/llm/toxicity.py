@@ -154,8 +154,8 @@ def train(rows: DataFrame, features: int = FEATURES, penalty: float = PENALTY, i
     return {f: float(v) for f, v in zip(names, w, strict=True) if v}, bias
 
 
-def with_score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = ()) -> DataFrame:
-    """``score`` and the columns ``keep`` (all without it) of ``docs``; the model is bounded by its number of features."""
+def with_score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """The score as ``name`` and the columns ``keep`` (all without it) of ``docs``; the model is bounded by its number of features."""
     weights, bias = model
 
     def run(batches):
@@ -173,10 +173,10 @@ def with_score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tup
                         have.update(f)
                 z = bias + math.fsum(weights[f] for f in have)
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n in names), pa.array(out, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n in names), pa.array(out, pa.float64())], [*names, name])
 
     names = [c for c in docs.columns if c in keep] if keep else docs.columns
-    kinds = StructType([f for f in docs.schema.fields if f.name in names]).add("score", "double")
+    kinds = StructType([f for f in docs.schema.fields if f.name in names]).add(name, "double")
     return docs.mapInArrow(run, kinds)
 
 

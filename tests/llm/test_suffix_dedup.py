@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from tarnlight.llm import suffix_dedup
 
 
-def expected(rows, size=200):
-    texts = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(t[i : i + size] for _, t in texts for i in range(len(t) - size + 1))
+def left_of(texts, size=200):
+    """What is left of each text, bytes removed, runs removed."""
+    seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
     out = []
-    for d, t in texts:
+    for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - size + 1):
             if seen[t[i : i + size]] > 1:
                 gone[i : i + size] = b"\1" * size
-        left = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        runs = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-        out.append((d, len(t), sum(gone), runs, hashlib.sha256(left).hexdigest()))
-    return sorted(out, key=str)
+        out.append((bytes(b for b, g in zip(t, gone, strict=True) if not g), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))))
+    return out
+
+
+def expected(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    return sorted(((d, len(t), removed, runs, hashlib.sha256(left).hexdigest()) for (d, _), t, (left, removed, runs) in zip(rows, texts, left_of(texts), strict=True)), key=str)
 
 
 def got(df):
