@@ -46,12 +46,12 @@ def admitted(texts: DataFrame) -> DataFrame:
 
 
 def terms_of(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """``rel, chunk_index, pos, term``: every word of every chunk. Stems are found once for each different word."""
-    words = chunks.select("rel", "chunk_index", F.posexplode(T.index_terms(F.col("text"))).alias("pos", "term"))
+    """``rel, chunk_index, dl, pos, term``: every word of every chunk, with the chunk's length. Stems are found once for each different word."""
+    words = chunks.select("rel", "chunk_index", T.index_terms(F.col("text")).alias("w")).select("rel", "chunk_index", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
     if not stemmed:
         return words
     vocabulary = words.select("term").distinct().withColumn("stem", porter.stem_index("term"))
-    return words.join(vocabulary, "term").select("rel", "chunk_index", "pos", F.col("stem").alias("term"))
+    return words.join(vocabulary, "term").select("rel", "chunk_index", "dl", "pos", F.col("stem").alias("term"))
 
 
 def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -100,11 +100,12 @@ def query_units(queries: DataFrame, stemmed: bool = False) -> DataFrame:
 
 
 def unit_hits(words: DataFrame, units: DataFrame) -> DataFrame:
-    """``query_id, unit, rel, chunk_index, tf``: how often each chunk has each unit. Phrases are runs of places one after another."""
-    wanted = small(units)
-    single = words.join(wanted.filter("size = 1"), "term").groupBy("query_id", "unit", "rel", "chunk_index").agg(F.count("*").alias("tf"))
-    runs = words.join(small(units.filter("size > 1")), "term").groupBy("query_id", "unit", "size", "rel", "chunk_index", (F.col("pos") - F.col("place")).alias("at")).agg(F.count("*").alias("found"))
-    phrases = runs.filter("found = size").groupBy("query_id", "unit", "rel", "chunk_index").agg(F.count("*").alias("tf"))
+    """``query_id, unit, rel, chunk_index, dl, tf``: how often each chunk has each unit. Phrases are runs of places one after another."""
+    single = words.join(small(units.filter("size = 1")), "term").groupBy("query_id", "unit", "rel", "chunk_index", "dl").agg(F.count("*").alias("tf"))
+    if units.filter("size > 1").isEmpty():  # as small as the queries
+        return single
+    runs = words.join(small(units.filter("size > 1")), "term").groupBy("query_id", "unit", "size", "rel", "chunk_index", "dl", (F.col("pos") - F.col("place")).alias("at")).agg(F.count("*").alias("found"))
+    phrases = runs.filter("found = size").groupBy("query_id", "unit", "rel", "chunk_index", "dl").agg(F.count("*").alias("tf"))
     return single.unionByName(phrases)
 
 
@@ -113,7 +114,7 @@ def bm25(index: Space, queries: DataFrame) -> DataFrame:
     hits = unit_hits(index.words, query_units(queries, index.stemmed))
     frequency = hits.groupBy("query_id", "unit").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(index.lengths))  # one row
-    scored = hits.join(small(frequency), ["query_id", "unit"]).join(index.lengths, ["rel", "chunk_index"]).crossJoin(stats)
+    scored = hits.join(frequency, ["query_id", "unit"]).crossJoin(stats)
     raw = F.ln((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     f = F.col("tf").cast("double")
@@ -122,11 +123,15 @@ def bm25(index: Space, queries: DataFrame) -> DataFrame:
 
 
 def ranked(scored: DataFrame, limit: int, flagged: bool = False) -> DataFrame:
-    """The best ``limit`` of each query, with ``rank`` from 1: by rounded score, then value, then score, then place."""
+    """The best ``limit`` of each query, with ``rank`` from 1: by rounded score, then value, then score, then place.
+
+    Sums of floats depend on the order of rows in their last digits, so the full score counts to nine decimals: equal scores
+    have one order in every run.
+    """
     order: list[Column] = [F.round("score", GRAIN).desc()]
     if flagged:
         order.append(F.col("has_value").desc())
-    order += [F.col("score").desc(), F.col("rel"), F.col("chunk_index")]
+    order += [F.round("score", 9).desc(), F.col("rel"), F.col("chunk_index")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= limit)
 
 

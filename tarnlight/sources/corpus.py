@@ -41,7 +41,7 @@ def inventory(texts: DataFrame) -> DataFrame:
     return texts.select("rel", size.alias("size"), F.when(size < HASH_LIMIT, F.sha1(filled.cast("binary"))).alias("sha1"), T.extension(F.col("rel")).alias("ext"), T.folder(F.col("rel")).alias("folder"), T.top_folder(F.col("rel")).alias("top_folder"))
 
 
-def walk(files: DataFrame, root: str, skip: tuple[str, ...] = (), home: str = "_index") -> DataFrame:
+def walk(files: DataFrame, root: str, skip: tuple[str, ...] = (), home: str = "evidence_home") -> DataFrame:
     """``files`` of ``binaryFile`` as ``rel, size, mtime, content``, without folders and files that no corpus holds.
 
     Of the engine's own ``home`` only ``Update/`` and ``vision_notes/`` count.
