@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,20 +131,21 @@ def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     before = F.broadcast(before) if tasks <= BROADCAST_TASKS else before
 
-    @F.pandas_udf("long")
-    def slot_of(number):
-        import pandas as pd
-
-        return pd.Series(permuted(number.to_numpy(), total, key))
+    def placed(batches):
+        z = zstandard.ZstdCompressor(9)
+        for b in batches:
+            slot = permuted(b.column("number").to_numpy(), total, key)
+            shard, ids = (slot // shard_rows).astype(np.int32), pa.array([z.compress(x.as_py()) for x in b.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), b.column("doc_ids"), b.column("first_start"), b.column("n_tokens"), ids], ["shard", "slot", "doc_ids", "first_start", "n_tokens", "ids"])
 
-    rows = table.withColumn("task", F.shiftright("uid", 33)).join(before, "task")
-    rows = rows.withColumn("slot", slot_of(F.col("before") + F.col("uid").bitwiseAND((1 << 33) - 1))).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
+    rows = table.withColumn("task", F.shiftright("uid", 33)).join(before, "task").withColumn("number", F.col("before") + F.col("uid").bitwiseAND((1 << 33) - 1))
+    rows = rows.select("number", "doc_ids", "first_start", "n_tokens", "ids").mapInArrow(placed, "shard int, slot long, doc_ids array<long>, first_start long, n_tokens int, ids binary")
     shards = max(1, -(-total // shard_rows))
-    rows = rows.select("shard", "slot", "doc_ids", "first_start", "n_tokens", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     names = ["slot", "shard", "byte_offset", "doc_ids", "first_start", "n_tokens", "ids_crc32"]
 
     def write(batches):
-        sink = shard = None
+        sink, z = None, zstandard.ZstdDecompressor()
         for b in batches:
             if sink is None and len(b):
                 shard = b.column("shard")[0].as_py()
@@ -153,7 +155,7 @@ def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int
                 sink = system.open_output_stream(temporary)
             crcs = []
             for x in b.column("ids"):
-                data = x.as_py()
+                data = z.decompress(x.as_py())
                 sink.write(data)
                 crcs.append(zlib.crc32(data))
             offset = (b.column("slot").to_numpy() % shard_rows) * length * 2
