@@ -104,7 +104,13 @@ def distance(v1: np.ndarray, v2: np.ndarray, a, b) -> np.ndarray:
 
 
 def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take each text's nearest."""
+    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take each text's nearest.
+
+    Two texts of one own prefix that both came here by a flip meet under that prefix too, with more flips left, so they aren't
+    linked again here.
+    """
+    own = fp >> np.uint64(width)
+    again = lambda a, b: (own[a] == own[b]) & (left[a] < HALF) & (left[b] < HALF)
     low = fp & np.uint64((1 << width) - 1)
     parts, owners = [], []
     for n in np.unique(left):
@@ -121,6 +127,7 @@ def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left:
     best, other = np.full(len(values), 1 << 20), np.full(len(values), -1)
     for k in range(1, min(FEW, int(sizes.max()))):
         at = np.flatnonzero((values[k:] == values[:-k]) & (size[k:] <= FEW))
+        at = at[~again(owner[at], owner[at + k])]
         d = distance(v1, v2, owner[at], owner[at + k])
         for x, y in ((at, at + k), (at + k, at)):
             closer = d < best[x]
@@ -133,17 +140,26 @@ def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left:
         middle = np.argsort((bits != centre).sum(1), kind="stable")[: LEADERS // 2]
         lucky = np.argsort((r[ids].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")[: LEADERS // 2]
         leaders = ids[np.unique(np.concatenate((middle, lucky)))]
-        d = np.stack([np.where(ids == x, 1 << 20, distance(v1, v2, ids, np.full(n, x))) for x in leaders], 1)
+        d = np.stack([np.where((ids == x) | again(ids, np.full(n, x)), 1 << 20, distance(v1, v2, ids, np.full(n, x))) for x in leaders], 1)
         at = d.argmin(1)
         out.append((ids, leaders[at], d[np.arange(n), at]))
     a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
     fine = d <= most
-    a, b, d = r[a[fine]], r[b[fine]], d[fine]
-    a, b = np.maximum(a, b), np.minimum(a, b)
-    order = np.lexsort((b, a))
-    a, b, d = a[order], b[order], d[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    return a[new], b[new], d[new]
+    a, b, d = a[fine], b[fine], d[fine]
+    order = np.lexsort((np.minimum(a, b), np.maximum(a, b), d))
+    # the shortest links that join what all of them join: at most one to a text
+    top = list(range(len(r)))
+    keep = []
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[x] = y
+            keep.append(k)
+    a, b, d = r[a[keep]], r[b[keep]], d[keep]
+    return np.maximum(a, b), np.minimum(a, b), d
 
 
 def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
