@@ -6,9 +6,11 @@ of the wanted similarity differ by at most ``2 * HALF`` bits in one of the block
 and there they share a variant within ``HALF`` bits of both. The width of a block follows the logarithm of the number of
 texts, so what collides by chance stays a few texts to each, and the number of blocks follows from width and recall.
 
-Under one variant each text is linked to the nearest other by ``CHECK`` bits of the fingerprint; in a crowd to the nearest
-of ``LEADERS`` texts, those nearest to the crowd's centre and some by chance. No pairs of a group are spelled out. Links
-are then verified on the shingle sets themselves: first each text's nearest, then those that still join different groups.
+Where few texts share a variant, all pairs near by ``CHECK`` bits of the fingerprint are candidates. In a crowd each text is
+linked to the nearest of ``LEADERS`` texts alone, those nearest to the crowd's centre and some by chance, and is marked.
+Links are verified on the shingle sets themselves: first each text's nearest, then those that still join different groups.
+That joins a crowd of near copies. What is near in a crowd of merely similar texts comes from a search without loss: the
+marked texts of different groups are joined on the shingles that are rarest among them (a prefix filter).
 
 Texts with equal shingle sets (also by case and white space) are copies at once. Texts without words are copies of each
 other alone.
@@ -33,6 +35,9 @@ SPARE, LEAST_WIDTH, MOST_WIDTH = 8, 24, 52
 WEIGHT, STEP = 1_000_000, 6
 #: Texts under one variant that are all compared, and leaders of a crowd.
 FEW, LEADERS = 32, 32
+#: Counters of shingles, which set the order of the prefix filter and so its cost, not what it finds.
+COUNTERS = 1 << 18
+LINK = "a long, b long, d long, crowded boolean"
 
 
 def flip_rate(similarity: float) -> float:
@@ -103,8 +108,11 @@ def distance(v1: np.ndarray, v2: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(v1[a] ^ v1[b]).astype(np.int64) + np.bitwise_count(v2[a] ^ v2[b])
 
 
-def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take each text's nearest."""
+def met(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take near pairs or leaders.
+
+    The last of the arrays marks links of a crowd. There a text far from all leaders is linked to itself, for the mark.
+    """
     low = fp & np.uint64((1 << width) - 1)
     parts, owners = [], []
     for n in np.unique(left):
@@ -118,14 +126,12 @@ def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left:
     starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(values)])))
     size = np.repeat(sizes, sizes)
-    best, other = np.full(len(values), 1 << 20), np.full(len(values), -1)
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
     for k in range(1, min(FEW, int(sizes.max()))):
         at = np.flatnonzero((values[k:] == values[:-k]) & (size[k:] <= FEW))
         d = distance(v1, v2, owner[at], owner[at + k])
-        for x, y in ((at, at + k), (at + k, at)):
-            closer = d < best[x]
-            best[x[closer]], other[x[closer]] = d[closer], owner[y[closer]]
-    out = [(owner, other, best)]
+        at, d = at[d <= most], d[d <= most]
+        out.append((owner[at], owner[at + k], d, np.zeros(len(at), bool)))
     for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
         ids = owner[s : s + n]
         bits = np.unpackbits(np.stack([v1[ids], v2[ids]], 1).view(np.uint8), axis=1)
@@ -134,20 +140,22 @@ def nearest(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left:
         lucky = np.argsort((r[ids].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")[: LEADERS // 2]
         leaders = ids[np.unique(np.concatenate((middle, lucky)))]
         d = np.stack([np.where(ids == x, 1 << 20, distance(v1, v2, ids, np.full(n, x))) for x in leaders], 1)
-        at = d.argmin(1)
-        out.append((ids, leaders[at], d[np.arange(n), at]))
-    a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    fine = d <= most
-    a, b, d = r[a[fine]], r[b[fine]], d[fine]
+        at, least = d.argmin(1), d.min(1)
+        out.append((ids, np.where(least <= most, leaders[at], ids), np.where(least <= most, least, 0), np.ones(n, bool)))
+    a, b, d, crowded = (np.concatenate(x) for x in zip(*out, strict=True))
+    a, b = r[a], r[b]
     a, b = np.maximum(a, b), np.minimum(a, b)
-    order = np.lexsort((b, a))
-    a, b, d = a[order], b[order], d[order]
+    order = np.lexsort((~crowded, b, a))
+    a, b, d, crowded = a[order], b[order], d[order], crowded[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    return a[new], b[new], d[new]
+    return a[new], b[new], d[new], crowded[new]
 
 
 def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """``(a, b, d)``, a > b: links between ``classes(r, blocks, v1, v2)`` to verify, with their distance in check bits."""
+    """``(a, b, d, crowded)``, a > b: links between ``classes(r, blocks, v1, v2)`` to verify, with their distance in check bits.
+
+    ``crowded``: both texts share a variant with a crowd; such links are not all that are near. A mark alone has a = b.
+    """
     p = flip_rate(similarity)
     most = math.ceil(CHECK * p + 4 * math.sqrt(CHECK * p * (1 - p)))
     n = classes.count()
@@ -157,8 +165,8 @@ def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scrat
 
     def group(rest):
         def run(t: pa.Table) -> pa.Table:
-            a, b, d = nearest(*(t.column(c).to_numpy().view(k) for c, k in (("r", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64))), t.column("left").to_numpy(), rest, most)
-            return pa.table({"a": a, "b": b, "d": d})
+            a, b, d, crowded = met(*(t.column(c).to_numpy().view(k) for c, k in (("r", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64))), t.column("left").to_numpy(), rest, most)
+            return pa.table({"a": a, "b": b, "d": d, "crowded": crowded})
 
         return run
 
@@ -167,14 +175,15 @@ def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scrat
         hot = scratch.save(rows.groupBy("key").agg(F.sum(cost).alias("w")).filter(F.col("w") > 4 * WEIGHT), "hot")
         any_hot = not hot.isEmpty()
         cool = rows.join(hot.select("key"), "key", "left_anti") if any_hot else rows
-        here = cool.groupBy("key").applyInArrow(group(width - bits), "a long, b long, d long")
+        here = cool.groupBy("key").applyInArrow(group(width - bits), LINK)
         if any_hot and bits == width:
             # one variant with an unbounded crowd: parts by chance, each with one text that all parts share
             crowd = rows.join(hot.select("key", F.ceil(F.col("w") / WEIGHT).cast("int").alias("parts")), "key")
             shared = crowd.groupBy("key").agg(F.min_by(F.struct("left", "fp", "r", "v1", "v2", "parts"), F.xxhash64("key", "r")).alias("x"))
             shared = shared.select("key", "x.*", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
             crowd = crowd.withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts").cast("long")).cast("int")).unionByName(shared).select("key", "part", "left", "fp", "r", "v1", "v2").dropDuplicates(["key", "part", "r"])
-            here = here.unionByName(crowd.groupBy("key", "part").applyInArrow(group(0), "a long, b long, d long"))
+            marks = crowd.select(F.col("r").alias("a"), F.col("r").alias("b"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("crowded"))
+            here = here.unionByName(crowd.groupBy("key", "part").applyInArrow(group(0), LINK)).unionByName(marks)
             any_hot = False
         if not any_hot and found is None:
             return here
@@ -210,6 +219,54 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tb").alias("ta"), F.col("ta").alias("tb")).mapInArrow(run, "a long, b long").select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
+def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """``(a, b)``, a > b: pairs of ``texts(r, c, text)`` of different ``c``, among them all with that Jaccard similarity.
+
+    With the shingles of all texts in one order, two such texts share one of their first few: the larger text's first
+    ``1 - similarity`` of its shingles and the smaller's still shorter share. The rarest come first.
+    """
+    index = 2 * similarity / (1 + similarity)
+
+    def hashes_of(b):
+        return [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text").cast(pa.binary())]
+
+    def counted(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            n += np.bincount((np.concatenate([np.zeros(0, np.uint64), *hashes_of(b)]) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    counts = texts.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+
+    def firsts(batches):
+        for b in batches:
+            taken, sizes = [], []
+            for hashes in hashes_of(b):
+                order = np.lexsort((hashes, often[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))
+                taken.append(hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]])
+                sizes.append(len(hashes))
+            n = np.array([len(x) for x in taken], np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            h = np.concatenate([np.zeros(0, np.uint64), *taken]).view(np.int64)
+            r, c = (b.column(x).to_numpy()[own] for x in ("r", "c"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, r, c, np.array(sizes, np.int64)[own], i)], ["h", "r", "c", "m", "i"])
+
+    rows = scratch.save(texts.select("r", "c", "text").mapInArrow(firsts, "h long, r long, c long, m long, i long"), "firsts")
+    # of each shingle the commonest group need not be compared with itself
+    mixed = scratch.save(rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c").alias("main")).filter("low < high").select("h", "main"), "mixed")
+    x = rows.join(mixed, "h").filter("c <> main").select("h", *(F.col(k).alias(f"x{k}") for k in "rcmi"))
+    y = rows.select("h", *(F.col(k).alias(f"y{k}") for k in "rcmi"))
+    ends = [F.struct(*(F.col(f"{side}{k}").alias(k) for k in "mri")) for side in "xy"]
+    (lm, li), (sm, si) = ((s["m"], s["i"]) for s in (F.greatest(*ends), F.least(*ends)))
+    fits = (sm >= similarity * lm - 1e-6) & (sm - si >= index * sm - 1e-6) & (F.least(lm - li, sm - si) * (1 + similarity) >= similarity * (lm + sm) - 1e-6)
+    found = x.join(y, "h").filter((F.col("xc") != F.col("yc")) & fits)
+    return found.select(F.greatest("xr", "yr").alias("a"), F.least("xr", "yr").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, k1, k2 (key of the text), group for each row of ``docs(doc_id, text)``. Near copies have one group.
 
@@ -221,12 +278,14 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch:
     classes = rows.groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("blocks").alias("blocks"), F.first("v1").alias("v1"), F.first("v2").alias("v2"))
     classes = scratch.save(classes.withColumn("r", F.monotonically_increasing_id()), "classes")
     links = candidates(classes.select("r", "blocks", "v1", "v2"), width, similarity, scratch)
-    links = scratch.save(links.groupBy("a", "b").agg(F.min("d").alias("d")), "links")
+    links = scratch.save(links.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("crowded").alias("crowded")), "links")
+    ends = lambda df: df.select("a").unionByName(df.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "r")
+    near, crowd = ends(links), ends(links.filter("crowded"))
+    links = links.filter("a <> b")
     # a text's nearest: most groups hang together by these alone
     best = links.select("a", "b", "d").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
     best = scratch.save(best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct(), "nearest")
-    near = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct()
-    own = classes.join(near.withColumnRenamed("a", "r"), "r", "left_semi").select("r", "one.k1", "one.k2")
+    own = classes.join(near, "r", "left_semi").select("r", "one.k1", "one.k2")
     text = F.col("text").cast("string")
     texts = docs.select(*text_key(text), text.alias("text")).join(own, ["k1", "k2"]).groupBy("r").agg(F.min("text").alias("text"))
     texts = scratch.save(texts, "texts")
@@ -239,6 +298,12 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch:
     rest = scratch.save(rest.filter(root("a") != root("b")).select("a", "b"), "rest")
     good = scratch.save(good.unionByName(verified(rest, texts, shingle, similarity)), "good")
     found = scratch.save(components(good, scratch), "groups")
+    crowd = scratch.save(crowd.join(found, crowd.r == found.node, "left").select("r", F.coalesce("root", "r").alias("c")), "crowd")
+    low, high = crowd.agg(F.min("c"), F.max("c")).first()
+    if low != high:
+        pairs = scratch.save(prefix_pairs(texts.join(crowd, "r"), shingle, similarity, scratch), "pairs")
+        good = scratch.save(good.unionByName(verified(pairs, texts, shingle, similarity)), "good")
+        found = scratch.save(components(good, scratch), "groups")
     scratch.drop(texts)
     classes = classes.join(found, classes.r == found.node, "left").select("c1", "c2", F.coalesce("root", "r").alias("group"))
     return scratch.save(rows.select("doc_id", "k1", "k2", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "k1", "k2", "group"), "grouped")

@@ -78,3 +78,21 @@ def test_plan_keeps_recall_and_few_chance_hits():
         p = similar.flip_rate(0.8)
         meet = sum(similar.math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(3))
         assert 1 - (1 - meet) ** blocks >= similar.RECALL
+
+
+def test_near_pairs_in_a_crowd_of_similar_texts(spark, docs_of):
+    """A shared template: all texts have a Jaccard similarity of about 0.75 to each other, and some pairs 0.8 or more."""
+    rng = random.Random(7)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    template = [f"t{i}" for i in range(100)]
+    texts = []
+    for i in range(600):
+        own = [next(fresh) for _ in range(16)]
+        texts.append(" ".join(template + own))
+        if i % 6 == 0:
+            changed = rng.randint(11, 12)
+            texts.append(" ".join(template + own[:-changed] + [next(fresh) for _ in range(changed)]))
+    rng.shuffle(texts)
+    groups = labels_of(texts)
+    assert len(set(groups)) == 600
+    check(similar.grouped(docs_of([*texts, *made(5, 200, 2)])).filter(F.col("doc_id") < len(texts)).collect(), texts)
