@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tarnlight.functions import embed as E
 from tarnlight.functions import text as T
 
 LEAST, KEPT_TEXT = 5, 500
+#: Queries that are searched at once, at most; they are broadcast.
+BLOCK = 1_000
 
 
 def admitted(texts: DataFrame) -> DataFrame:
@@ -37,16 +40,23 @@ def reused(vectors: DataFrame, texts: DataFrame, manifest: DataFrame, backend: s
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, key: str, limit: int = 8) -> DataFrame:
-    """``query_id, <key>, score, rank``: the nearest vectors of each of a few ``queries(query_id, q)`` by dot product.
+    """``query_id, <key>, score, rank``: the nearest vectors of each of ``queries(query_id, q)`` by dot product.
 
-    Queries are counted and must be few: they are broadcast, and each vector keeps its own scores alone. The ranking is
-    partial first (a rank limit that Spark pushes below the shuffle).
+    Queries are broadcast, in blocks by the hash of their ids if they are more than ``BLOCK``; each block is searched in all
+    vectors. The ranking is partial first (a rank limit that Spark pushes below the shuffle).
     """
-    if queries.limit(1_001).count() > 1_000:
-        raise ValueError("more than 1,000 queries: search them in batches")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", key, E.dot(F.col("q"), F.col("vector")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+    def block(some: DataFrame) -> DataFrame:
+        scored = vectors.crossJoin(F.broadcast(some)).select("query_id", key, E.dot(F.col("q"), F.col("vector")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+    n = queries.count()
+    if n <= BLOCK:
+        return block(queries)
+    blocks = -(-n * 2 // BLOCK)  # half full on average, as hashing doesn't deal evenly
+    parts = [block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def semantic_search(index: DataFrame, query: str, limit: int = 8, folder: str | None = None, least: float = 1e-6, embedder=E.embed, lexical: bool = True) -> DataFrame:
