@@ -56,7 +56,11 @@ def sketches(items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for each leak of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``."""
-    scratch = scratch or Scratch(docs.sparkSession, "decontam")
+    return keyed_leaks(docs, benchmark, scratch or Scratch(docs.sparkSession, "decontam")).drop("key")
+
+
+def keyed_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``leaks`` with the key of the document's text, which tells rows of one doc_id apart."""
     items = scratch.save(items_of(benchmark), "items")
     sketch = scratch.save(sketches(items), "sketches")
     bound = sketch.agg(F.max("h")).first()[0]
@@ -70,16 +74,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     found = probes.join(bounded(sketch), "h").filter(F.greatest(F.lit(1), F.col("n") - SHINGLE + 1) >= F.col("need")).select("doc_id", "key", "row").distinct()
     found = scratch.save(found, "candidates")
     texts = rows.alias("d").join(bounded(found.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
-    own = texts.select("doc_id", "row", words(F.col("text")).alias("w")).select("doc_id", "row", shingles(F.col("w")).alias("own"))
+    own = texts.select("doc_id", "key", "row", words(F.col("text")).alias("w")).select("doc_id", "key", "row", shingles(F.col("w")).alias("own"))
     shared = own.join(bounded(items), "row").withColumn("n_shared", F.size(F.array_intersect("shingles", "own")))
-    return shared.filter("n_shared >= need").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return shared.filter("n_shared >= need").select("doc_id", "key", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without those that hold an item of ``benchmark``. A null doc_id is judged as one more id."""
-    (name,) = fresh(docs, "_id")
-    bad = scratch.save(leaks(docs, benchmark, scratch).select(F.col("doc_id").alias(name)).distinct(), "leaks")
-    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """``docs`` without those that hold an item of ``benchmark``. Rows of one doc_id, null too, are judged each by their own text."""
+    names = fresh(docs, "_id", "_key")
+    bad = keyed_leaks(docs, benchmark, scratch).select(F.col("doc_id").alias(names[0]), F.col("key").alias(names[1])).distinct()
+    bad = scratch.save(bad, "leaks")
+    return docs.join(bounded(bad), F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

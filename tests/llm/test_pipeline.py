@@ -66,6 +66,14 @@ def test_odd_documents(spark, sf, docs_of, tmp_path):
         assert after.count() == 0, i
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, docs_of, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, item), (1, "a clean text"), (1, None), (None, item), (None, "another clean text"), (None, None), (2, item + " nu"), (3, "clean")]
+    kept = corpus_pipeline.drop_leaks(spark, docs_of(rows).withColumn("_key", F.lit("clash")), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_run_gives_the_last_stage(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() > 0
