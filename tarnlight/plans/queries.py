@@ -259,6 +259,22 @@ def field_pack_fold(spark, sf_dir):
     return evidence.packed_fields(fields, 2000)
 
 
+@registered("""WITH RECURSIVE b AS (SELECT *, coalesce(lang, '_') || '/' || coalesce(CAST(doc_id // 200 AS VARCHAR), '_') AS block FROM documents),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY block ORDER BY doc_id, n_chars, source) AS INTEGER) - 1 AS nth FROM b),
+f AS (SELECT block || '/' || CAST(nth // 200 AS VARCHAR) AS query_id, nth % 200 + 1 AS place, source AS label, 6 + n_chars % 97 AS cost, n_chars % 3 = 0 AS has_value FROM p),
+t AS (SELECT query_id, place, label, (80 + cost <= 2000 OR has_value) AS packed, CAST(80 + CASE WHEN 80 + cost <= 2000 OR has_value THEN cost ELSE 0 END AS BIGINT) AS used, (80 + cost <= 2000 OR has_value) AS got FROM f WHERE place = 1
+  UNION ALL SELECT f.query_id, f.place, f.label, (t.used + cost <= 2000 OR (NOT got AND has_value)), CAST(t.used + CASE WHEN t.used + cost <= 2000 OR (NOT got AND has_value) THEN cost ELSE 0 END AS BIGINT), got OR (t.used + cost <= 2000 OR (NOT got AND has_value)) FROM t JOIN f ON f.query_id = t.query_id AND f.place = t.place + 1)
+SELECT query_id, place, label, packed, used FROM t""")
+def field_pack_forms(spark, sf_dir):
+    """All documents in forms of 200 fields at most: of one language and 200 following doc_ids, and by 200 where ids repeat."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = d.withColumn("block", F.concat_ws("/", F.coalesce("lang", F.lit("_")), F.coalesce(F.expr("doc_id div 200").cast("string"), F.lit("_"))))
+    first = [F.col(c).asc_nulls_last() for c in ("doc_id", "n_chars", "source")]
+    nth = F.row_number().over(Window.partitionBy("block").orderBy(*first)) - 1
+    fields = d.withColumn("nth", nth).select(F.concat_ws("/", "block", F.expr("nth div 200").cast("string")).alias("query_id"), (F.col("nth") % 200 + 1).alias("place"), F.col("source").alias("label"), (6 + F.col("n_chars") % 97).alias("cost"), (F.col("n_chars") % 3 == 0).alias("has_value"))
+    return evidence.packed_fields(fields, 2000)
+
+
 ALIAS_SQL = "VALUES " + ", ".join(f"({i}, {[*words]})" for i, group in enumerate([[k, *v] for k, v in ALIASES.items()]) for words in ([w for w in p.split()] for p in group))
 
 
