@@ -1,10 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: MinHash containment search, verified by exact shingle containment.
 
 Native: only DataFrame functions. An item with ``m`` different five-word shingles is found in a document that has at least
 ``THRESHOLD`` of them, so such a document lacks at most ``m - need`` and must hold one of the item's ``m - need + 1``
-shingles of least hash: that bottom-k MinHash sketch loses no document. Items fall into partitions by size (powers of
-two), each with its own sketch lengths and the greatest sketch hash as a bound, which spares the documents' other shingles.
-A partition is only searched in documents large enough for it. Candidates are then verified on the shingles' own text.
+shingles of least hash: that bottom-k MinHash sketch loses no document. The greatest sketch hash of all items is a bound
+that spares the documents' other shingles, and documents too small for the smallest item are not searched; sizes are not
+partitioned. Candidates are then verified on the shingles' own text.
 
 Words are runs of letters and digits, lower-cased. Sketches and item shingles are broadcast while they hold at most
 ``BROADCAST_ROWS`` rows; candidate keys too; beyond that the joins shuffle.
