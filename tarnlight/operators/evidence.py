@@ -118,27 +118,43 @@ def packed_fields(fields: DataFrame, budget: int, used: int = RESERVE) -> DataFr
 
 
 def conflicts(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """``key, value_kind, value_key, value, rel, line, place``: facts with two or more values, each by its newest source, newest first.
+    """``key, value_kind, value_key, value, rel, line, place, authority``: facts with two or more values, each by its newest source, newest first.
 
-    ``items(key, value, rel, line)``, ``sources(rel, mtime_iso)``. Ties of time go by the weight of the source's name, then the name.
+    ``items(key, value, rel, line)``, ``sources(rel, mtime_iso)``. Ties of time go by the weight of the source's name, then the
+    name. With a column ``by_kind`` that is true, values of different kinds are different facts.
     """
     rows = items.filter((F.coalesce("value", F.lit("")) != "") & F.col("key").isNotNull()).join(sources, "rel", "left")
     rows = rows.withColumn("k", facts.value_key(F.col("value"))).withColumn("newest", F.struct(F.coalesce("mtime_iso", F.lit("")).alias("t"), facts.authority(F.col("rel")).alias("a"), F.col("rel").alias("r"), F.col("value").alias("v"), F.col("line").alias("l")))
-    best = rows.groupBy("key", "k").agg(F.max("newest").alias("x"))
-    w = Window.partitionBy("key")
+    rows = rows.withColumn("sort", F.when(F.col("by_kind"), F.col("k.kind")).otherwise("") if "by_kind" in rows.columns else F.lit(""))
+    best = rows.groupBy("key", "sort", "k").agg(F.max("newest").alias("x"))
+    w = Window.partitionBy("key", "sort")
     best = best.withColumn("n", F.count("*").over(w)).filter("n > 1").withColumn("place", F.row_number().over(w.orderBy(F.col("x").desc())))
-    return best.select("key", F.col("k.kind").alias("value_kind"), F.col("k.key").alias("value_key"), F.col("x.v").alias("value"), F.col("x.r").alias("rel"), F.col("x.l").alias("line"), "place")
+    return best.select("key", F.col("k.kind").alias("value_kind"), F.col("k.key").alias("value_key"), F.col("x.v").alias("value"), F.col("x.r").alias("rel"), F.col("x.l").alias("line"), "place", F.col("x.a").alias("authority"))
 
 
 def excerpt_cost(text: Column) -> Column:
     return T.token_cost(text) + EVIDENCE_COST
 
 
+#: Characters of a label beside letters and digits, the most of them, and the least.
+LABEL_MARKS, LONGEST_LABEL, SHORTEST_LABEL = " _/&'()-", 61, 2
+
+
 def form_fields(forms: DataFrame, limit: int = 200) -> DataFrame:
-    """``form_id, place, label`` of ``forms(form_id, text)``: lines ``Label:`` or ``Label ___``, repeats numbered."""
-    lines = forms.select("form_id", F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]")).alias("at", "line"))
-    label = F.trim(F.regexp_extract(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""), r"(?U)^[-*\d.)\s]*([^\W\d_][\w /&'()\-]{1,60}?)\s*[:_]", 1))
-    rows = lines.select("form_id", "at", label.alias("label")).filter("label <> ''")
+    """``form_id, place, label`` of ``forms(form_id, text)``: lines ``Label:`` or ``Label ___``, repeats numbered.
+
+    What stands before the first letter of a line may be bullets and numbers only, and the label ends at its first colon, or
+    at an underscore that isn't followed by more of the label.
+    """
+    lines = forms.select("form_id", F.posexplode(F.split("text", r"\R|[\x1C-\x1E]")).alias("at", "line"))
+    head = F.regexp_extract("line", r"(?U)^([\s\d\-*.)]*)", 1)
+    rest = F.substring("line", F.length(head) + 1, F.length("line"))
+    said = F.regexp_replace(F.substring_index(rest, ":", 1), r"_[_\s]*$", "")
+    said = F.when(rest.contains(":"), said).when(rest.contains("_"), F.regexp_extract(rest, r"^([^_]*)_", 1)).otherwise("")
+    label = F.regexp_replace(said, r"(?U)\s+$", "")
+    odd = F.regexp_replace(F.translate(label, LABEL_MARKS, ""), r"[\p{L}\p{N}]", "") != ""
+    fine = label.rlike(r"^\p{L}") & ~odd & F.length(label).between(SHORTEST_LABEL, LONGEST_LABEL)
+    rows = lines.select("form_id", "at", F.when(fine, label).otherwise("").alias("label")).filter("label <> ''")
     again = F.row_number().over(Window.partitionBy("form_id", F.lower("label")).orderBy("at"))
     rows = rows.withColumn("n", again).withColumn("place", F.row_number().over(Window.partitionBy("form_id").orderBy("at")))
     return rows.filter(F.col("place") <= limit).select("form_id", "place", F.when(F.col("n") == 1, F.col("label")).otherwise(F.concat("label", F.lit(" #"), "n")).alias("label"))
