@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tarnlight.functions import text as T
 
 LINE, LOW_TEXT = "=" * 80, 300
+#: Paths, taken by hash, by which a list of files is cut into ranges.
+CUTS = 4_096
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".heic")
-#: Files of a folder in one stretch of the running sum that cuts dumps.
-STRETCH = 50_000
 
 
 def size_of(text: str) -> int:
@@ -67,8 +67,15 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, n: int = 50) -> DataFrame:
-    """Each nth row in order of path, the first included, numbered by range: counts of ranges, then rows within each."""
-    ordered = rows.repartitionByRange("rel").withColumn("range", F.spark_partition_id())
+    """Each nth row in order of path, the first included, for rows of one path each.
+
+    Ranges of paths are cut by quantiles that are known before rows are counted, so counting and numbering, though run apart,
+    see the same ranges.
+    """
+    cuts = rows.select(F.xxhash64("rel").alias("h"), "rel").orderBy("h").limit(CUTS).select("rel").distinct().agg(F.array_sort(F.collect_list("rel")).alias("cuts"))
+    cuts = [c for i, c in enumerate(cuts.first()[0]) if i % 64 == 0]
+    at = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
+    ordered = rows.withColumn("range", F.size(F.filter(at, lambda c: c <= F.col("rel"))))
     before = ordered.groupBy("range").agg(F.count("*").alias("c"))
     before = before.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("start"))  # a row per range
     place = F.row_number().over(Window.partitionBy("range").orderBy("rel")) - 1

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.functions import porter
+from tarnlight.functions import porter, values
 from tarnlight.functions import text as T
 
 K1, B, LEAST_IDF, GRAIN = 1.2, 0.75, 1e-6, 4
@@ -35,9 +35,13 @@ class EmptyIndex(RuntimeError):
     """A miss in an index that holds nothing, or less than its corpus."""
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def small(df: DataFrame) -> DataFrame:
     """``df``, broadcast if it is seen to be small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if small_enough(df) else df
 
 
 def admitted(texts: DataFrame) -> DataFrame:
@@ -45,39 +49,77 @@ def admitted(texts: DataFrame) -> DataFrame:
     return T.with_chunks(texts).filter(F.length(F.trim("text")) >= 3)
 
 
+def listed(chunks: DataFrame) -> DataFrame:
+    """``rel, chunk_index, w``: the terms of each chunk in order."""
+    return chunks.select("rel", "chunk_index", T.index_terms(F.col("text")).alias("w"))
+
+
+def placed(lists: DataFrame) -> DataFrame:
+    return lists.select("rel", "chunk_index", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+
+
+def stems_of(words: DataFrame) -> DataFrame:
+    """``term, stem`` of each different term of ``words(term)``."""
+    return words.select("term").distinct().withColumn("stem", porter.stem_index("term"))
+
+
 def terms_of(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
     """``rel, chunk_index, dl, pos, term``: every word of every chunk, with the chunk's length. Stems are found once for each different word."""
-    words = chunks.select("rel", "chunk_index", T.index_terms(F.col("text")).alias("w")).select("rel", "chunk_index", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    words = placed(listed(chunks))
     if not stemmed:
         return words
-    vocabulary = words.select("term").distinct().withColumn("stem", porter.stem_index("term"))
-    return words.join(vocabulary, "term").select("rel", "chunk_index", "dl", "pos", F.col("stem").alias("term"))
+    return words.join(stems_of(words), "term").select("rel", "chunk_index", "dl", "pos", F.col("stem").alias("term"))
 
 
-def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """``term, rel, chunk_index, tf, dl``."""
-    words = chunks.select("rel", "chunk_index", T.index_terms(F.col("text")).alias("w")).select("rel", "chunk_index", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if stemmed:
-        vocabulary = words.select("term").distinct().withColumn("stem", porter.stem_index("term"))
-        words = words.join(vocabulary, "term").select("rel", "chunk_index", "dl", F.col("stem").alias("term"))
-    return words.groupBy("term", "rel", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """``term, rel, chunk_index, tf, dl``. Terms are counted within each chunk, so what travels is a row a term and chunk, not a row a word."""
+    lists = listed(chunks).withColumn("u", F.array_sort("w"))
+    # in a sorted list each run of equals is a term: where a run begins, and where the next does
+    starts = F.filter(F.sequence(F.lit(0), F.size("u") - 1), lambda i: (i == 0) | (F.get("u", i) != F.get("u", i - 1)))
+    runs = F.transform("s", lambda i, k: F.struct(F.get("u", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("u")) - i).cast("long").alias("tf")))
+    rows = lists.filter(F.size("u") > 0).withColumn("s", starts).select("rel", "chunk_index", F.size("w").alias("dl"), F.explode(runs).alias("x"))
+    return rows.select("x.term", "rel", "chunk_index", "x.tf", "dl")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("rel", "chunk_index", F.size(T.index_terms(F.col("text"))).alias("dl"))
+    return listed(chunks).select("rel", "chunk_index", F.size("w").alias("dl"))
 
 
 @dataclass
 class Space:
-    """One term space of an index: its words by place, and the length of each chunk. Stored or made on the fly."""
+    """One term space of an index: its words by place, and the length of each chunk.
+
+    Of a stored index both are tables. Made on the fly, ``words`` is none and ``lists`` has the terms of each chunk in order.
+    """
 
-    words: DataFrame
+    words: DataFrame | None
     lengths: DataFrame
     stemmed: bool
+    lists: DataFrame | None = None
 
 
 def space(chunks: DataFrame, stemmed: bool = False) -> Space:
-    return Space(terms_of(chunks, stemmed), lengths(chunks), stemmed)
+    lists = listed(chunks)
+    return Space(None, lists.select("rel", "chunk_index", F.size("w").alias("dl")), stemmed, lists)
+
+
+def local(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, evaluated once and broadcast, if it has at most ``limit`` rows."""
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
+
+
+def asked_words(index: Space, units: DataFrame) -> DataFrame:
+    """``rel, chunk_index, dl, pos`` and the columns of ``units`` for each word of the index that a unit asks for.
+
+    Where stems are made on the fly, the vocabulary is cut to the words with a stem that is asked for before it meets the
+    words, so it is small and no word has to travel for its stem.
+    """
+    if index.words is not None or not index.stemmed:
+        return (index.words if index.words is not None else placed(index.lists)).join(small(units), "term")
+    vocabulary = stems_of(index.lists.select(F.explode("w").alias("term")))
+    known = local(vocabulary.join(small(units.select(F.col("term").alias("stem")).distinct()), "stem"))
+    return placed(index.lists).join(known, "term").drop("term").withColumnRenamed("stem", "term").join(small(units), "term")
 
 
 def corpus_stats(measured: DataFrame) -> DataFrame:
@@ -99,20 +141,23 @@ def query_units(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     return rows.withColumn("term", porter.stem_index("term")) if stemmed else rows
 
 
-def unit_hits(words: DataFrame, units: DataFrame) -> DataFrame:
+def unit_hits(index: Space, units: DataFrame) -> DataFrame:
     """``query_id, unit, rel, chunk_index, dl, tf``: how often each chunk has each unit. Phrases are runs of places one after another."""
-    single = words.join(small(units.filter("size = 1")), "term").groupBy("query_id", "unit", "rel", "chunk_index", "dl").agg(F.count("*").alias("tf"))
+    keys = ["query_id", "unit", "rel", "chunk_index", "dl"]
+    words = asked_words(index, units)
     if units.filter("size > 1").isEmpty():  # as small as the queries
-        return single
-    runs = words.join(small(units.filter("size > 1")), "term").groupBy("query_id", "unit", "size", "rel", "chunk_index", "dl", (F.col("pos") - F.col("place")).alias("at")).agg(F.count("*").alias("found"))
-    phrases = runs.filter("found = size").groupBy("query_id", "unit", "rel", "chunk_index", "dl").agg(F.count("*").alias("tf"))
-    return single.unionByName(phrases)
+        return words.groupBy(*keys).agg(F.count("*").alias("tf"))
+    begins = F.when(F.col("size") > 1, F.col("pos") - F.col("place"))
+    runs = words.groupBy(*keys, "size", begins.alias("at")).agg(F.count("*").alias("found"))
+    times = F.when(F.col("size") > 1, (F.col("found") == F.col("size")).cast("long")).otherwise(F.col("found"))
+    return runs.groupBy(*keys).agg(F.sum(times).alias("tf")).filter("tf > 0")
 
 
 def bm25(index: Space, queries: DataFrame) -> DataFrame:
     """``query_id, rel, chunk_index, score`` of every chunk with a word of ``queries(query_id, query)``."""
-    hits = unit_hits(index.words, query_units(queries, index.stemmed))
-    frequency = hits.groupBy("query_id", "unit").agg(F.count("*").alias("df"))
+    hits = unit_hits(index, query_units(queries, index.stemmed))
+    # every row counts; that it looks at tf keeps both uses of the hits one plan, which is then run once
+    frequency = hits.groupBy("query_id", "unit").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df"))
     stats = F.broadcast(corpus_stats(index.lengths))  # one row
     scored = hits.join(frequency, ["query_id", "unit"]).crossJoin(stats)
     raw = F.ln((F.col("n_chunks") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
@@ -146,19 +191,32 @@ def restricted(scored: DataFrame, folder: str | None = None, types: set[str] | N
     return scored.filter(T.extension(F.col("rel")).isin(*types)) if types else scored
 
 
+def flags(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rel, chunk_index, has_value`` of the chunks in ``found``: as stored, or read from their texts now."""
+    keys = found.select("rel", "chunk_index").distinct()
+    if "has_value" in chunks.columns:
+        return chunks.select("rel", "chunk_index", "has_value").join(keys, ["rel", "chunk_index"])
+    return chunks.select("rel", "chunk_index", "text").join(keys, ["rel", "chunk_index"]).select("rel", "chunk_index", values.value_flags("text").alias("has_value"))
+
+
 def search(chunks: DataFrame, queries: DataFrame, limit: int = 8, folder: str | None = None, ext: list[str] | None = None, flagged: bool = False, spaces: tuple[Space, Space] | None = None) -> DataFrame:
     """``query_id, rel, chunk_index, score, rank``: literal and stemmed rankings, cut to a pool each, fused by the larger score.
 
-    ``chunks(rel, chunk_index, text)``, with ``has_value`` if ``flagged``; ``spaces``: the stored index, else made here.
+    ``chunks(rel, chunk_index, text)``; ``spaces``: the stored index, else made here. ``flagged``: a chunk that carries a
+    value comes before one of the same rounded score. That can matter only down to the last rounded score of a pool, so no
+    other chunk is read for a value.
     """
     types, unknown = T.wanted_types(ext or [])
     if unknown:
         raise ValueError(f"file types that nothing reads: {unknown}")
-    values = chunks.select("rel", "chunk_index", "has_value") if flagged else None
-    sides = []
+    sides, near = [], Window.partitionBy("query_id").orderBy(F.round("score", GRAIN).desc())
     for index in spaces or (space(chunks), space(chunks, True)):
         scored = restricted(bm25(index, queries), folder, types)
-        sides.append(ranked(scored.join(values, ["rel", "chunk_index"]) if flagged else scored, pool_of(limit), flagged).drop("rank"))
+        sides.append(scored.withColumn("near", F.rank().over(near)).filter(F.col("near") <= pool_of(limit)).drop("near"))
+    if flagged:
+        known = flags(sides[0].unionByName(sides[1]), chunks)
+        sides = [side.join(known, ["rel", "chunk_index"]) for side in sides]
+    sides = [ranked(side, pool_of(limit), flagged).drop("rank") for side in sides]
     keys = ["query_id", "rel", "chunk_index", *(["has_value"] if flagged else [])]
     both = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("score").alias("score"))
     return ranked(both, limit, flagged)

@@ -53,7 +53,7 @@ class CorpusIndex:
         todo = work.filter("work = 'add'").select("rel")
         stale = work.select("rel").distinct()
 
-        def joined(name: str, made: DataFrame, sort: str | None = None) -> DataFrame:
+        def joined(name: str, made: DataFrame, sort: tuple[str, ...] = ()) -> DataFrame:
             if not fresh:
                 made = made.unionByName(self.state.read(name).join(stale, "rel", "left_anti"))
             return self.state.write(version, name, made, sort)
@@ -64,8 +64,8 @@ class CorpusIndex:
         joined("chunks", chunks)
         written = self.state.spark.read.parquet(f"{self.state.root}/v={version}/chunks")
         mine = written.join(todo, "rel", "left_semi")
-        joined("words", search.terms_of(mine), "term")
-        joined("stem_words", search.terms_of(mine, True), "term")
+        joined("words", search.terms_of(mine), ("term", "rel"))
+        joined("stem_words", search.terms_of(mine, True), ("term", "rel"))
         joined("lengths", search.lengths(mine))
         report = Report(version, counts)
         try:

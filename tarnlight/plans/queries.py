@@ -185,7 +185,7 @@ def bm25_stem_topk(spark, sf_dir):
 
 @registered()
 def dual_fusion_topk(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir).withColumn("has_value", values.value_flags("text"))
+    chunks = chunks_of(spark, sf_dir)
     return shown(search.search(chunks, items(spark, sf_dir), 8, flagged=True))
 
 
@@ -370,7 +370,7 @@ CLAIMS = (("cap", "4.2 crore", "a_signed.md", "2026-01-01T00:00:00Z"), ("cap", "
 def conflict_groups(spark, sf_dir):
     rows = spark.createDataFrame([(*c[:3], c[1]) for c in CLAIMS], "key string, value string, rel string, line string")
     sources = spark.createDataFrame(sorted({(c[2], c[3]) for c in CLAIMS if c[3]}), "rel string, mtime_iso string")
-    return evidence.conflicts(rows, sources).drop("line")
+    return evidence.conflicts(rows, sources).drop("line", "authority")
 
 
 FORM_TEXT = "Vendor form\n\n1. Legal name: ____\n- Effective date: \n* Échéance :\nPhone ______\nLegal name: again\nno label here\n   Rate (per year)/month _\nlegal Name:"
@@ -504,7 +504,7 @@ def vector_topk(spark, sf_dir):
 
 @registered()
 def hash_embed(spark, sf_dir):
-    return vectors.build(corpus.documents(spark, sf_dir)).select("rel", "chunk_index", F.size("vector").alias("width"), F.round(embed.dot(F.col("vector"), F.col("vector")), 3).alias("norm"))
+    return vectors.build(corpus.documents(spark, sf_dir)).select("rel", "chunk_index", "vector", F.size("vector").alias("width"), F.round(embed.dot(F.col("vector"), F.col("vector")), 3).alias("norm"))
 
 
 @registered()
@@ -521,10 +521,10 @@ def stem_vocabulary(spark, sf_dir):
 @registered()
 def packet_evidence(spark, sf_dir):
     """Evidence for each benchmark item: fused search, existence, floor, two per source, budget."""
-    chunks, asked = chunks_of(spark, sf_dir).withColumn("has_value", values.value_flags("text")), items(spark, sf_dir)
+    chunks, asked = chunks_of(spark, sf_dir), items(spark, sf_dir)
     pool = search.with_text(search.search(chunks, asked, 40, flagged=True), chunks)
     terms = asked.select("query_id", F.array_distinct(T.content_terms(F.col("query"))).alias("wanted"))
-    pool = evidence.existing(pool.withColumn("stems", T.tokens(F.col("text"))), terms)
+    pool = evidence.existing(pool.withColumn("stems", porter.stem_lists(F.array_distinct(T.tokens(F.col("text"))))), terms.select("query_id", porter.stem_lists("wanted").alias("wanted")))
     pool = evidence.per_source(evidence.above_floor(pool), [F.col("rank")]).join(asked, "query_id").join(terms, "query_id")
     pool = pool.withColumn("excerpt", T.snippet(F.col("text"), F.col("query"), F.col("wanted"), evidence.EXCERPT)).withColumn("cost", evidence.excerpt_cost(F.col("excerpt")))
     return evidence.packed(pool, [F.col("rank")], 3000).select("query_id", "rel", "chunk_index", "excerpt", "cost", "used", "place")

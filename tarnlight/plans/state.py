@@ -60,9 +60,12 @@ class State:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
         return max([0, *(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())]) + 1
 
-    def write(self, version: int, name: str, df: DataFrame, sort: str | None = None) -> DataFrame:
-        """A table of a version that isn't committed yet; ``sort``: rows of a value lie together, for pruning by min and max."""
-        out = df.repartition(sort).sortWithinPartitions(sort) if sort else df
+    def write(self, version: int, name: str, df: DataFrame, sort: tuple[str, ...] = ()) -> DataFrame:
+        """A table of a version that isn't committed yet; ``sort``: its order, for pruning by min and max.
+
+        Ranges are cut by all columns of the order, so that a value with very many rows is spread over several files.
+        """
+        out = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
         out.write.mode("errorifexists").parquet(f"{self.root}/v={version}/{name}")
         return self.spark.read.parquet(f"{self.root}/v={version}/{name}")
 

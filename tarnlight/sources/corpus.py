@@ -14,9 +14,18 @@ SKIP_FOLDERS = ("node_modules", "__pycache__", "venv", "_indexes")
 SKIP_FILES = (".DS_Store", "Thumbs.db", "desktop.ini", "Icon\r")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where a table has fewer splits than there are cores, such as a file of one row group.
+
+    A table with as many splits or more, as any large one has, is read where it lies.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rel, doc_id, text`` of the table of documents; null parts of a path are ``_``, null texts stay null."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     return d.select(F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/doc_"), part("doc_id"), F.lit(".txt")).alias("rel"), "doc_id", "text")
 
@@ -64,5 +73,13 @@ def folder_files(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) ->
 
 
 def stat_rows(files: DataFrame) -> DataFrame:
-    """The inventory of ``walk``: path, size, time in UTC, hash, type, folders."""
-    return files.select("rel", "size", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime_iso"), F.when(F.col("size") < HASH_LIMIT, F.sha1("content")).alias("sha1"), T.extension(F.col("rel")).alias("ext"), T.folder(F.col("rel")).alias("folder"), T.top_folder(F.col("rel")).alias("top_folder"))
+    """The inventory of ``walk``: path, size, time in UTC, hash, type, folders.
+
+    Large files are not hashed, and their branch asks for no content, so the source doesn't read it.
+    """
+    small, large = files.filter(F.col("size") < HASH_LIMIT), files.filter(F.col("size") >= HASH_LIMIT)
+    return _stat(small, F.sha1("content")).unionByName(_stat(large, F.lit(None).cast("string")))
+
+
+def _stat(files: DataFrame, sha1) -> DataFrame:
+    return files.select("rel", "size", F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime_iso"), sha1.alias("sha1"), T.extension(F.col("rel")).alias("ext"), T.folder(F.col("rel")).alias("folder"), T.top_folder(F.col("rel")).alias("top_folder"))
