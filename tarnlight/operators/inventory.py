@@ -55,3 +55,18 @@ def duplicates(rows: DataFrame, inbox: str = "Update/") -> DataFrame:
     hashed = rows.filter(F.coalesce("sha1", F.lit("")) != "")
     originals = hashed.filter(~F.col("rel").startswith(inbox)).groupBy("sha1").agg(F.min("rel").alias("original"))
     return hashed.filter(F.col("rel").startswith(inbox)).join(originals, "sha1").select("rel", "original")
+
+
+def scaffold(home: str = "evidence_home") -> tuple[str, ...]:
+    """The files that the engine itself writes into a corpus."""
+    return ("CLAUDE.md", "AGENTS.md", f"{home}/HANDOFF.md", f"{home}/00_MASTER_INDEX.md", f"{home}/Update/README.md", f"{home}/vision_notes/README.md")
+
+
+def without_scaffold(rows: DataFrame, written: DataFrame, home: str = "evidence_home") -> DataFrame:
+    """``rows(rel, sha1)`` without the engine's own files, as they say nothing about the corpus.
+
+    One that was edited since, by ``written(rel, sha1)``, is its user's and stays. With nothing known of a file its name decides.
+    """
+    own = F.broadcast(written.filter(F.col("rel").isin(*scaffold(home))).groupBy("rel").agg(F.first("sha1").alias("_written")))  # six rows at most
+    edited = F.coalesce(F.col("_written") != F.col("sha1"), F.lit(False))
+    return rows.join(own, "rel", "left").filter(~F.col("rel").isin(*scaffold(home)) | edited).drop("_written")

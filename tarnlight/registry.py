@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnlight.plans import queries as _all
+from tarnlight.plans import stem_queries as _more  # noqa: F401  registers itself
 
 flagship = _all.flagship
 
