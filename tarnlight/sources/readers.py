@@ -7,6 +7,7 @@ without it. Contents come and go in Arrow batches; a broken file is a row with a
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -20,7 +21,7 @@ from tarnlight.sources.corpus import EXTRACT_LIMIT
 
 SNIFF, CONTROL_SHARE = 8192, 0.30
 OLE2 = bytes.fromhex("D0CF11E0A1B11AE1")
-CONTROLS = bytes(c for c in range(32) if c not in b"\t\n\f\r\b\x1b") + b"\x7f"
+CONTROLS = bytes(c for c in range(32) if c not in b"\t\n\f\r")
 
 
 def binary(head: bytes) -> bool:
@@ -73,11 +74,22 @@ def pptx(z: zipfile.ZipFile) -> str:
     return "\n".join(out)
 
 
+def sheets(z: zipfile.ZipFile):
+    """Name and part of each sheet in the workbook's order, by its relations; without them, by the parts' numbers."""
+    named = [(n.get("name"), next((v for k, v in n.attrib.items() if k.endswith("}id")), None)) for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n) == "sheet"]
+    rels = "xl/_rels/workbook.xml.rels"
+    if rels not in z.namelist():
+        return zip([name for name, _ in named], _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), strict=False)
+    targets = {n.get("Id"): n.get("Target", "") for n in ElementTree.fromstring(z.read(rels)) if _local(n) == "Relationship"}
+    parts = ((name, targets.get(key, "")) for name, key in named)
+    parts = ((name, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for name, t in parts)
+    return [(name, part) for name, part in parts if part in z.namelist()]
+
+
 def xlsx(z: zipfile.ZipFile) -> str:
     shared = [_texts(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(n) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [n.get("name") for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n) == "sheet"]
     out = []
-    for name, part in zip(names, _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), strict=False):
+    for name, part in sheets(z):
         out.append(f"\n=== SHEET: {name} ===")
         for row in (n for n in ElementTree.fromstring(z.read(part)).iter() if _local(n) == "row"):
             cells: dict[int, str] = {}
@@ -105,12 +117,36 @@ def pdf(content: bytes, passwords=("",)) -> str:
     raise error
 
 
+def read_secrets(spark, *paths: str) -> dict[str, str]:
+    """Passwords by part of a path, from the first of the JSON files that is there and holds an object; none otherwise."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            continue
+        stream = fs.open(at)
+        try:
+            found = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+        except ValueError:
+            continue
+        finally:
+            stream.close()
+        return {k: v for k, v in found.items() if isinstance(v, str)} if isinstance(found, dict) else {}
+    return {}
+
+
 def passwords_for(rel: str, secrets: dict[str, str]) -> list[str]:
     """No password first, then those whose key is in the path, in the order given."""
     return ["", *(v for k, v in secrets.items() if k in rel)]
 
 
-def describe(error: Exception, content: bytes) -> str:
+def describe(error: Exception, content: bytes, asked: int = 0) -> str:
+    """Why a file couldn't be read, and what to do; ``asked``: passwords that were tried."""
+    kind = type(error).__name__
+    if kind == "PDFPasswordIncorrect":
+        return "an encrypted PDF: none of its passwords fits" if asked else "an encrypted PDF: it has no password in the secrets"
+    if kind == "PSEOF":
+        return "not a complete PDF: it ends in the middle"
     if content.startswith(OLE2):
         return "an old or encrypted office file: save it in a current format without a password"
     if isinstance(error, zipfile.BadZipFile):
@@ -135,7 +171,7 @@ def read_one(rel: str, ext: str, content: bytes, secrets: dict[str, str]) -> tup
         else:
             return None, "unsupported", f"no reader for {ext or 'files without a type'}"
     except Exception as e:  # noqa: BLE001  whatever a broken file raises is its status
-        return None, "failed", describe(e, content)
+        return None, "failed", describe(e, content, len(passwords_for(rel, secrets)) - 1)
     text = re.sub(r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "", text)
     return text, "ok" if text.strip() else "empty", ""
 

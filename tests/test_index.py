@@ -95,12 +95,27 @@ def test_readers():
     assert readers.read_one("x.pptx", ".pptx", package(ppt__slides__slide1_xml=slide), {})[0] == "\n--- SLIDE 1 ---\nTitle\nx"
     book = package(xl__workbook_xml='<w><sheet name="S"/></w>', xl__sharedStrings_xml="<s><si><t>k</t></si></s>", xl__worksheets__sheet1_xml='<w><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row/></w>')
     assert readers.read_one("x.xlsx", ".xlsx", book, {})[0] == "\n=== SHEET: S ===\nk\t\t5"
+    moved = package(xl__workbook_xml='<w xmlns:r="r"><sheet name="First" r:id="rId2"/><sheet name="Second" r:id="rId1"/></w>', xl__worksheets__sheet1_xml='<w><row><c r="A1"><v>2</v></c></row></w>', xl__worksheets__sheet2_xml='<w><row><c r="A1"><v>1</v></c></row></w>')
+    with zipfile.ZipFile(moved := io.BytesIO(moved), "a") as z:
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></R>')
+    assert readers.read_one("x.xlsx", ".xlsx", moved.getvalue(), {})[0] == "\n=== SHEET: First ===\n1\n\n=== SHEET: Second ===\n2"
+    assert readers.read_one("x.txt", ".txt", b"\x7f" * 9 + b"a", {})[:2] == ("a", "ok") and readers.read_one("x.txt", ".txt", b"\x08" * 9 + b"a", {})[1] == "unsupported"
     assert readers.read_one("x.docx", ".docx", b"PK broken", {})[1] == "failed" and readers.read_one("x.zip", ".zip", b"", {})[1] == "unsupported"
     assert readers.read_one("x.txt", ".txt", b"a\0b", {})[1] == "unsupported" and readers.read_one("x.txt", ".txt", b" \n", {})[1] == "empty" and readers.read_one("x.txt", ".txt", b"\xff ok", {})[0] == "� ok"
     assert readers.passwords_for("a/b.pdf", {"b": "1", "z": "2", "": "3"}) == ["", "1", "3"]
     assert "office file" in readers.describe(ValueError(), readers.OLE2 + b"x")
 
 
+def test_secrets_and_failures(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "good.json").write_text('{"contracts/": "pw", "n": 3}')
+    path = lambda name: f"file://{tmp_path}/{name}.json"
+    assert readers.read_secrets(spark, path("none"), path("bad"), path("good")) == {"contracts/": "pw"}
+    assert readers.read_secrets(spark, path("none")) == {}
+    wrong = type("PDFPasswordIncorrect", (Exception,), {})()
+    assert readers.describe(wrong, b"", 1) != readers.describe(wrong, b"", 0) and "middle" in readers.describe(type("PSEOF", (Exception,), {})(), b"")
+
+
 def test_walk_and_stream(spark, tmp_path):
     reachable(spark)
     root = tmp_path / "src"
