@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +112,16 @@ def stale_reports(curated: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def health(tables: dict[str, DataFrame]) -> DataFrame:
-    """``check_name, ok, detail`` of an index with ``texts, chunks, words, stem_words``: nothing lost between them."""
-    chunks, texts = tables["chunks"], tables["texts"]
-    has_text = texts.filter(F.length(T.squeezed(F.coalesce("text", F.lit("")))) >= 3)
-    found = [has_text.join(chunks.select("rel").distinct(), "rel", "left_anti").agg(F.count("*").alias("n")).select(F.lit("every text has chunks").alias("check_name"), "n")]
+    """``check_name, ok, detail`` of an index with ``texts, chunks, words, stem_words, inventory, lengths``: nothing lost between them, nothing left over."""
+    chunks, texts, stat = tables["chunks"], tables["texts"], tables["inventory"]
     with_words = chunks.filter(F.size(T.index_terms(F.col("text"))) > 0)
-    for name in ("words", "stem_words"):
-        missing = with_words.join(tables[name].select("rel", "chunk_index").distinct(), ["rel", "chunk_index"], "left_anti")
-        found.append(missing.agg(F.count("*").alias("n")).select(F.lit(f"every chunk is in {name}").alias("check_name"), "n"))
-    found.append(chunks.join(texts.select("rel"), "rel", "left_anti").agg(F.count("*").alias("n")).select(F.lit("every chunk has its text").alias("check_name"), "n"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("check_name", (F.col("n") == 0).alias("ok"), F.concat(F.col("n"), F.lit(" missing")).alias("detail"))
+    chunk, rel = ["rel", "chunk_index"], ["rel"]
+    missing = {
+        "every text has chunks": (texts.filter(F.length(T.squeezed(F.coalesce("text", F.lit("")))) >= 3), chunks, rel), "every chunk has its text": (chunks, texts, rel),
+        "every chunk is in words": (with_words, tables["words"], chunk), "every chunk is in stem_words": (with_words, tables["stem_words"], chunk), "every chunk has a length": (chunks, tables["lengths"], chunk),
+        "every word has its chunk": (tables["words"], chunks, chunk), "every file was read": (stat, texts, rel), "every text is of a file": (texts, stat, rel),
+    }
+    counts = {name: left.join(right.select(*keys).distinct(), keys, "left_anti") for name, (left, right, keys) in missing.items()}
+    counts |= {"no file twice": stat.groupBy("rel").count().filter("count > 1"), "no chunk twice": chunks.groupBy(*chunk).count().filter("count > 1"), "no file failed": texts.filter("status = 'failed'")}
+    rows = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n") for name, rows in counts.items()]
+    return reduce(DataFrame.unionByName, rows).select("check_name", (F.col("n") == 0).alias("ok"), F.concat("n", F.lit(" found")).alias("detail"))

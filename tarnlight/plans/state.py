@@ -2,6 +2,10 @@
 
 The mark is created exclusively, so of two writers of one version one fails; readers take the highest marked version, so a
 run that breaks off leaves the old index as it was. All files go through the session's file system.
+
+A table may lie in layers: the mark then names the versions that hold it, and beside each layer a table of the ``rel`` whose
+rows in older layers it replaces. So an update writes what has changed, and a read leaves the replaced rows out. With
+``MOST_LAYERS`` a table is to be written whole again.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = 1
+SCHEMA, MOST_LAYERS = 2, 8
 
 
 class StateError(RuntimeError):
@@ -39,11 +43,36 @@ class State:
         have = self.versions()
         if not have:
             raise StateError(f"{self.root} has no committed version")
-        return self.spark.read.parquet(f"{self.root}/v={version or have[-1]}/{name}")
-
-    def meta(self) -> dict:
-        have = self.versions()
-        if not have:
+        newest = version or have[-1]
+        layers = self.meta(newest).get("layers", {}).get(name) or {"versions": [newest], "replaced": ""}
+        return self.stacked(name, layers)
+
+    def stacked(self, name: str, layers: dict) -> DataFrame:
+        """The rows of a table that no later layer replaces. ``layers``: ``versions``, rising, and the table of replaced ``rel``."""
+        table = lambda v, n: self.spark.read.parquet(f"{self.root}/v={v}/{n}")
+        out, gone = None, None
+        for v in reversed(layers["versions"]):
+            rows = table(v, name)
+            rows = rows if gone is None else rows.join(gone, "rel", "left_anti")
+            out = rows if out is None else rows.unionByName(out)
+            if v != layers["versions"][0]:
+                mine = table(v, layers["replaced"]).select("rel").distinct()
+                gone = mine if gone is None else gone.unionByName(mine).distinct()
+        return out
+
+    def next_layers(self, name: str, version: int, replaced: str, whole: bool) -> dict:
+        """The layers of a table with ``version`` on top, or alone if it is written whole."""
+        below = [] if whole else self.meta().get("layers", {}).get(name, {}).get("versions", [])
+        return {"versions": [*below, version], "replaced": replaced}
+
+    def full(self) -> bool:
+        """Whether the tables have as many layers as they may have, or none that could be added to."""
+        layers = self.meta().get("layers", {})
+        return not layers or max(len(x["versions"]) for x in layers.values()) >= MOST_LAYERS
+
+    def meta(self, version: int | None = None) -> dict:
+        have = [version] if version else self.versions()
+        if not have or version and not self._fs.exists(self._path(f"v={version}/_COMMIT")):
             return {}
         stream = self._fs.open(self._path(f"v={have[-1]}/_COMMIT"))
         try:
@@ -84,9 +113,20 @@ class State:
     def history(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/history")
 
+    def compact(self) -> int:
+        """Writes the newest version's layered tables whole, as a new version."""
+        meta, version = self.meta(), self.begin()
+        for name, layers in meta["layers"].items():
+            self.write(version, name, self.stacked(name, layers))
+        meta["layers"] = {name: layers | {"versions": [version]} for name, layers in meta["layers"].items()}
+        self.commit(version, **{k: v for k, v in meta.items() if k not in ("schema", "at")})
+        return version
+
     def drop_before(self, version: int) -> None:
-        """Frees versions below ``version``; the newest committed one always stays."""
+        """Frees versions below ``version``; the newest committed one always stays, written whole if it needs an older one."""
         keep = max(self.versions(), default=version)
+        if any(v < keep for x in self.meta().get("layers", {}).values() for v in x["versions"]):
+            keep = version = self.compact()
         for s in list(self._fs.listStatus(self._path(""))):
             name = s.getPath().getName()
             if name.startswith("v=") and name[2:].isdigit() and int(name[2:]) < min(version, keep):

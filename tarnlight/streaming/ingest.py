@@ -18,17 +18,13 @@ def file_stream(spark: SparkSession, root: str, pattern: str = "*", per_batch: i
 def follow(stream: DataFrame, index: CorpusIndex, checkpoint: str, available_now: bool = True):
     """Starts a query that brings ``index`` up to each batch of ``stream(rel, size, mtime, content)``.
 
-    Files of earlier batches stay: a batch replaces those it has. A batch that runs twice finds nothing changed.
+    Files of earlier batches stay: a batch replaces those it has, and writes no more than these. A batch that runs twice finds
+    nothing changed. Files without text are kept with their status.
     """
 
     def apply(batch: DataFrame, _id: int) -> None:
         batch = batch.withColumn("n", F.row_number().over(Window.partitionBy("rel").orderBy(F.col("mtime").desc(), F.sha1("content")))).filter("n = 1").drop("n")
-        new = readers.extracted(batch).select("rel", "text")
-        stat = corpus.stat_rows(batch)
-        if index.state.versions():
-            new = new.unionByName(index.table("texts").join(batch.select("rel"), "rel", "left_anti").select("rel", "text"))
-            stat = stat.unionByName(index.table("inventory").join(batch.select("rel"), "rel", "left_anti").select(*stat.columns))
-        index.sync(new.filter("text is not null"), stat)
+        index.sync(readers.extracted(batch).select("rel", "text", "status", "detail"), corpus.stat_rows(batch), partial=True)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
