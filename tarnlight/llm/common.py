@@ -6,10 +6,14 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+#: Bytes of a batch that goes to a Python worker, at most (or one row): rows are texts of any length.
+BATCH_BYTES = 4 << 20
+#: What may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnlight-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -28,9 +34,11 @@ class Scratch:
     """Tables written to the shared folder to cut lineage and to be read several times.
 
     A table survives the loss of any executor. ``drop`` frees one that is no longer read; the rest goes when the driver ends.
+    Making one bounds the session's Arrow batches by ``BATCH_BYTES``, which bounds the memory of executors and workers.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tarnlight/{name}-{uuid.uuid4().hex}"
         self.count = 0
         _made.append((spark, self.root))
@@ -64,6 +72,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; it must be cheap to read. ``size``: bytes of a row, where rows can be large."""
+    size = F.lit(0) if size is None else size
+    rows, total = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -33,12 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch, fresh
+from tarnlight.llm.common import Scratch, bounded, fresh
 
 LENGTH, GRAM = 200, 100
-TILE = 1 << 20
+TILE = 1 << 18
 #: Phrases to a block, and different phrases of one gram that may meet in a block.
-BLOCK, CROWD = 20_000, 5_000
+BLOCK, CROWD = 5_000, 2_500
 
 _rng = np.random.default_rng(20_011)
 _VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = scratch.save(parsed.join(scratch.save(grams, "grams"), "gram"), "again")
     scratch.drop(parsed)
     entries = scratch.save(again.filter("mixed").groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")).select("gram", "phrase", "n", "one.*"), "dictionary")
-    entire = again.filter("not mixed").select("k1", "k2", "place").unionByName(again.filter("mixed").join(entries.filter("n > 1").select("gram", "phrase"), ["gram", "phrase"]).select("k1", "k2", "place"))
+    entire = again.filter("not mixed").select("k1", "k2", "place").unionByName(again.filter("mixed").join(bounded(entries.filter("n > 1").select("gram", "phrase")), ["gram", "phrase"]).select("k1", "k2", "place"))
     first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
     sure = entire.select("k1", "k2", first.alias("s"), (first + F.col("place").bitwiseAND(255) + LENGTH).alias("e"))
 
