@@ -3,7 +3,8 @@
 Vectors are compared within a label. Equal vectors count as one, with their number. In each of ``TREES`` trees a node is
 split at the median of the projections on a random direction; vectors within ``SPILL`` of the median, by rank, go to both
 sides. Nodes above ``CELL`` vectors are split by DataFrame steps, one level at a time, smaller ones within a task, down to
-``LEAF``. Within a leaf all vectors are compared by cosine in double precision, and what is linked is joined; only a tree
+``LEAF``. Projections that tie, as those of unit vectors along one line do, are ranked by a hash, so every split makes both
+sides smaller; the shared vectors of a tied node join its sides. Within a leaf all vectors are compared by cosine in double precision, and what is linked is joined; only a tree
 of links leaves the task. The union of all trees gives the components.
 
 Links are then counted within components, so that a pair which no tree put into a leaf still counts, and no pair is ever
@@ -23,13 +24,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.common import Scratch, components
 from tarnlight.llm.simhash import roots
 
-THRESHOLD, TREES, LEAF, SPILL, CELL, BLOCK = 0.93, 8, 128, 0.1, 8_192, 1_024
+THRESHOLD, TREES, LEAF, SPILL, CELL, BLOCK, GRAIN = 0.93, 8, 128, 0.1, 8_192, 1_024, 2.0**-28
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -79,10 +81,18 @@ def cells(reps: DataFrame, trees: int, scratch: Scratch, cell: int) -> DataFrame
     done = None
 
     def project(batches):
+        known: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            m = matrix_any(b.column("vector"))
-            p = [float(v @ direction(c, len(v))) for v, c in zip(m, b.column("cell").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], ["cell", "r", "vector", "p"])
+            ids, out = b.column("cell").to_numpy(), np.zeros(len(b))
+            widths = pc.list_value_length(b.column("vector")).to_numpy(zero_copy_only=False)
+            for c, width in {*zip(ids.tolist(), widths.tolist(), strict=True)}:
+                if len(known) > 10_000:
+                    known.clear()
+                if (c, width) not in known:
+                    known[c, width] = direction(c, width)
+                at = np.flatnonzero((ids == c) & (widths == width))
+                out[at] = matrix(b.column("vector").take(pa.array(at))) @ known[c, width]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranked(out, b.column("r").to_numpy(), ids))], ["cell", "r", "vector", "p"])
 
     while True:
         big = scratch.save(rows.groupBy("cell").count().filter(F.col("count") > cell).select("cell"), "big")
@@ -96,13 +106,12 @@ def cells(reps: DataFrame, trees: int, scratch: Scratch, cell: int) -> DataFrame
         rows = scratch.save(at.join(cuts, "cell").select("cell", "r", "vector", F.explode(sides).alias("side")).select(F.xxhash64("cell", "side").alias("cell"), "r", "vector"), "split")
 
 
-def matrix_any(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for v in column:
-        x = np.asarray(v.as_py(), np.float64)
-        x = x / np.abs(x).max()
-        out.append(x / math.sqrt(float(x @ x)))
-    return out
+def ranked(p: np.ndarray, r: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Projections to ``GRAIN`` with a hash of the row and the cell below it, by which ties are ordered."""
+    x = (r.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ cell.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (np.round(p / GRAIN) + (x >> np.uint64(43)).astype(np.float64) / (1 << 21)) * GRAIN
 
 
 def counting(threshold: float):

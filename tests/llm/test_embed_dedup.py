@@ -62,6 +62,34 @@ def test_odd_rows(spark):
     assert embed_dedup.near(df.limit(0)).count() == 0
 
 
+def test_one_direction_is_split(spark):
+    """More vectors along one line than a cell holds: their projections tie at every level."""
+    rows = [(i, [float(i + 1), 2.0 * (i + 1), -(i + 1.0)], 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.near(df, cell=12, trees=2).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(119, 0)}
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs just above the threshold among many others, in labels with several times the vectors of a cell."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1_500):
+        v = rng.normal(size=24)
+        v /= np.linalg.norm(v)
+        rows.append((len(rows), v.tolist(), i % 2))
+        if i % 3 == 0:
+            w = rng.normal(size=24)
+            w -= (w @ v) * v
+            cosine = rng.uniform(0.931, 0.96)
+            rows.append((len(rows), (cosine * v + np.sqrt(1 - cosine * cosine) * w / np.linalg.norm(w)).tolist(), i % 2))
+    got = {r["vec_id"]: r for r in embed_dedup.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell=200).collect()}
+    links, want = expected(rows)
+    assert len(links) >= 500
+    found = sum(got[i]["n_links"] for i, _, _ in want)
+    assert 0.9 * 2 * len(links) <= found <= 2 * len(links)
+    assert all(got[i]["n_links"] <= n for i, n, _ in want)
+
+
 def test_large_components_are_counted_in_blocks(spark):
     rows = made(600, 4)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
