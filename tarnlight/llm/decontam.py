@@ -1,13 +1,16 @@
-"""Benchmark decontamination: MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Native: only DataFrame functions. An item with ``m`` different five-word shingles is found in a document that has at least
 ``THRESHOLD`` of them, so such a document lacks at most ``m - need`` and must hold one of the item's ``m - need + 1``
-shingles of least hash: that bottom-k MinHash sketch loses no document. The greatest sketch hash of all items is a bound
-that spares the documents' other shingles, and documents too small for the smallest item are not searched; sizes are not
-partitioned. Candidates are then verified on the shingles' own text.
+shingles of least hash: that bottom-k MinHash sketch loses no document. Items are partitioned by size (powers of two), and
+each partition has a bound, the greatest hash in its sketches, and a least number of shingles that a document must have.
+A document is searched in the partitions that it is large enough for. Their bounds all begin at the least hash, so a
+shingle is probed once, up to the greatest bound of the document's own partitions. Hits that don't fit their partition's
+bound and the item's own need are dropped. Candidates are then verified on the shingles' own text, each document once for
+all its items.
 
-Words are runs of letters and digits, lower-cased. Sketches and item shingles are broadcast while they hold at most
-``BROADCAST_ROWS`` rows; candidate keys too; beyond that the joins shuffle.
+Words are runs of letters and digits, lower-cased. Sketches, candidate keys and item shingles are broadcast while they hold
+at most ``common.BROADCAST_ROWS`` rows and ``common.BROADCAST_BYTES``; beyond that the joins shuffle.
 
 Defined results: null and empty texts, and items without a word, match nothing. A text of fewer than five words has one
 shingle, the whole sequence, so a very short item matches only documents that say just this. Repeated rows of documents or
@@ -19,15 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch, fresh
+from tarnlight.llm.common import Scratch, bounded, fresh
 
 SHINGLE, THRESHOLD = 5, 0.8
-BROADCAST_ROWS = 200_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; it must be cheap to count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:
@@ -59,23 +56,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     return keyed_leaks(docs, benchmark, scratch or Scratch(docs.sparkSession, "decontam")).drop("key")
 
 
+def partitions(sketch: DataFrame) -> list[tuple[int, int, int]]:
+    """``(part, bound, least)`` of each partition of sizes: at most 31 rows."""
+    return [tuple(r) for r in sketch.groupBy("part").agg(F.max("h"), F.min("need")).orderBy("part").collect()]
+
+
 def keyed_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """``leaks`` with the key of the document's text, which tells rows of one doc_id apart."""
     items = scratch.save(items_of(benchmark), "items")
     sketch = scratch.save(sketches(items), "sketches")
-    bound = sketch.agg(F.max("h")).first()[0]
-    smallest = sketch.agg(F.min("need")).first()[0]
-    if bound is None:
-        bound, smallest = -(1 << 63), 1
+    parts = partitions(sketch)
+    own = F.greatest(F.lit(1), F.col("n") - SHINGLE + 1)  # shingles of the document, repeats included
+    bound = F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *(F.when(own >= least, F.lit(high)) for _, high, least in parts))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    split = rows.select("doc_id", "key", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    probes = split.select("doc_id", "key", F.size("w").alias("n"), F.explode(F.filter(shingles(F.col("w"), F.xxhash64), lambda h: h <= F.lit(bound))).alias("h"))
-    probes = probes.filter(F.greatest(F.lit(1), F.col("n") - SHINGLE + 1) >= smallest)
-    found = probes.join(bounded(sketch), "h").filter(F.greatest(F.lit(1), F.col("n") - SHINGLE + 1) >= F.col("need")).select("doc_id", "key", "row").distinct()
+    split = rows.select("doc_id", "key", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).filter("n > 0").withColumn("bound", bound).filter("bound is not null")
+    probes = split.select("doc_id", "key", "n", F.explode(F.filter(shingles(F.col("w"), F.xxhash64), lambda h: h <= F.col("bound"))).alias("h"))
+    fits = own >= F.col("need")
+    for part, high, least in parts:
+        fits = fits & ((F.col("part") != part) | (F.col("h") <= high) & (own >= least))
+    found = probes.join(bounded(sketch), "h").filter(fits).select("doc_id", "key", "row").distinct()
     found = scratch.save(found, "candidates")
-    texts = rows.alias("d").join(bounded(found.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
-    own = texts.select("doc_id", "key", "row", words(F.col("text")).alias("w")).select("doc_id", "key", "row", shingles(F.col("w")).alias("own"))
-    shared = own.join(bounded(items), "row").withColumn("n_shared", F.size(F.array_intersect("shingles", "own")))
+    asked = found.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list("row").alias("rows"))  # of one document: as many as there are items
+    asked = scratch.save(asked, "asked")
+    texts = rows.alias("d").join(bounded(asked, 8 * F.size("rows")), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
+    own = texts.select("doc_id", "key", "rows", words(F.col("text")).alias("w")).select("doc_id", "key", "rows", shingles(F.col("w")).alias("own"))
+    own = own.select("doc_id", "key", "own", F.explode("rows").alias("row"))
+    shared = own.join(bounded(items, F.octet_length(F.array_join("shingles", " "))), "row").withColumn("n_shared", F.size(F.array_intersect("shingles", "own")))
     return shared.filter("n_shared >= need").select("doc_id", "key", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch
+from tarnlight.llm.common import Scratch, bounded
 from tarnlight.llm.url_filter import host_of, path_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -193,7 +193,7 @@ def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     w = Window.orderBy("range")  # one row a range
     edges = edges.select("range", F.lag("last").over(w).alias("_before"), F.lead("first").over(w).alias("_after"))
     w = Window.partitionBy("range").orderBy("place")
-    out = ordered.withColumn("before", F.lag(own).over(w)).withColumn("after", F.lead(own).over(w)).join(F.broadcast(edges), "range")
+    out = ordered.withColumn("before", F.lag(own).over(w)).withColumn("after", F.lead(own).over(w)).join(bounded(edges, 8 * (F.size("_before.hashes") + F.size("_after.hashes"))), "range")
     near = lambda name: F.coalesce(name, F.col("_" + name))
     keep = lambda c: F.when(c["host"] == F.col("host"), c)
     return out.select("page_id", "url", "uid", "path", "hashes", "lines", "marked", keep(near("before")).alias("before"), keep(near("after")).alias("after"))
