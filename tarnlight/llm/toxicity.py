@@ -1,17 +1,19 @@
 """Toxicity: a logistic model of words and word ends, with counterfactual regularisation.
 
 Labelled texts that name a group (``IDENTITY``) are copied with the group's term swapped for another of its kind, and the
-training loss gains ``PENALTY`` times the squared change of the logit between a text and its copies. So a weight on a term
-of identity alone costs more than it explains, and neutral mentions aren't held against a text.
+training loss gains ``PENALTY`` times the squared change of the logit between a text and its copies. A text that names none
+gets a mention: a kind picked by a hash of its words, one term added and then swapped. So the features that a term shares
+with other words, its beginning and its end, count too: a weight that a term of identity would get from them or from itself
+costs more than it explains, and neutral mentions aren't held against a text.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled rows, taken in order of a hash of doc_id, and from at
+The model is fitted on the driver from at most ``SAMPLE`` labelled rows, taken in order of a hash of the text, and from at
 most ``FEATURES`` features: the words, word beginnings and word ends that tell the labels apart best by a chi-square score.
-Counts of features are made on the executors. Scoring reads every whole text; a text's score depends on its set of features
-alone.
+Counts of features, and what each swap changes, are made on the executors. Scoring reads every whole text; a text's score
+depends on its set of features alone.
 
-Defined results: null, empty and wordless texts get the score of the intercept. Rows whose label or doc_id is null, or whose
-doc_id is held out, teach nothing. Repeated documents and ids are scored row by row; repeated labels each count. Without
-labelled rows, or with one class only, the score is the smoothed share of toxic rows (0.5 without any). Ties of the
+Defined results: null, empty and wordless texts get the score of the intercept. Rows whose label isn't 0 or 1 (null too),
+whose doc_id is null, or whose doc_id is held out, teach nothing. Repeated documents and ids are scored row by row; a text
+that comes again under one doc_id and label teaches once. Without labelled rows, or with one class only, the score is the smoothed share of toxic rows (0.5 without any). Ties of the
 chi-square score go by the feature's text. Empty documents give no rows; extra columns are not read.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,6 +33,8 @@ from pyspark.sql.types import StructType
 from tarnlight.llm.common import Scratch
 
 SAMPLE, FEATURES, PENALTY, THRESHOLD = 20_000, 3_000, 1.0, 0.3
+#: Tasks over the sample.
+PARTS = 32
 #: Terms that may stand for each other, by kind and language.
 IDENTITY = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
@@ -56,20 +61,23 @@ def word_set(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str], identity=IDENTITY) -> list[set[str]]:
-    """The word set with its terms of identity swapped, once for each other term of a kind it names."""
-    out = []
-    for kind in identity:
-        if named := words & set(kind):
-            out += [words - named | {other} for other in kind if other not in named]
-    return out
+def swapped(words: set[str], identity=IDENTITY) -> tuple[set[str], list[set[str]]]:
+    """The word set, with a term of identity if it has none, and it with the term swapped, once for each other term of its kind."""
+    kinds = [kind for kind in identity if not words.isdisjoint(kind)]
+    if not kinds and identity:
+        kinds = [identity[zlib.crc32(" ".join(sorted(words)).encode()) % len(identity)]]
+        words = words | {kinds[0][0]}
+    return words, [words - set(kind) | {other} for kind in kinds for other in kind if other not in words]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most ``sample`` rows that may teach."""
-    ids = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "text", "toxic").limit(sample)
+    """``text, toxic`` of at most ``sample`` rows that may teach, in ``PARTS`` partitions. Rows are chosen by hash before their texts travel."""
+    ids = labels.filter("doc_id is not null").filter(F.col("toxic").isin(0, 1)).filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    rows = docs.drop("text").join(F.broadcast(ids), "doc_id").distinct().orderBy("key", "doc_id", "toxic").limit(sample)
+    found = docs.join(F.broadcast(rows), ["doc_id", "key"]).repartition(PARTS, "doc_id", "key", "toxic")
+    return found.dropDuplicates(["doc_id", "key", "toxic"]).select("text", "toxic")
 
 
 def held_out():
@@ -96,17 +104,15 @@ def choose(counts: DataFrame, ones: int, zeros: int, features: int) -> list[str]
     return [r["feature"] for r in counts.filter(a + b >= 4).filter(a + b < n).orderBy(chi.desc(), "feature").limit(features).select("feature").collect()]
 
 
-def fit(x: list[list[int]], y: np.ndarray, swaps: list[tuple[int, list[int]]], width: int, penalty: float = PENALTY, l1: float = 2e-4, l2: float = 1e-4, turns: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated proximal gradient. ``swaps``: the row and the features of each swapped copy."""
+def fit(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int]]], width: int, penalty: float = PENALTY, l1: float = 2e-4, l2: float = 1e-4, turns: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated proximal gradient. ``swaps``: the features that go and that come with each swap."""
 
     def sparse(rows):
         return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
 
     row, col = sparse(x)
-    # the change of a row by a swap: +1 for what goes, -1 for what comes
-    diff = [(sorted(set(x[i]) - set(s)), sorted(set(s) - set(x[i]))) for i, s in swaps]
-    drow, dcol = sparse([a + b for a, b in diff])
-    dval = np.array([v for a, b in diff for v in [1.0] * len(a) + [-1.0] * len(b)])
+    drow, dcol = sparse([[*a, *b] for a, b in swaps])
+    dval = np.array([v for a, b in swaps for v in [1.0] * len(a) + [-1.0] * len(b)])
     n, m, share = len(x), max(1, len(swaps)), float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     w, bias = np.zeros(width), math.log(share / (1 - share))
     v, vb, t = w.copy(), bias, 1.0
@@ -130,30 +136,43 @@ def fit(x: list[list[int]], y: np.ndarray, swaps: list[tuple[int, list[int]]], w
     return w, bias
 
 
-def train(rows: DataFrame, features: int = FEATURES, penalty: float = PENALTY, identity=IDENTITY) -> tuple[dict[str, float], float]:
-    """The model of ``rows(text, toxic)``, which must be bounded: weights by feature, and the intercept."""
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    ones, zeros = n.get(1, 0), n.get(0, 0)
-    if not ones or not zeros:
-        return {}, math.log((ones + 0.5) / (zeros + 0.5))
-    names = choose(count_features(rows), ones, zeros, features)
+def lessons(rows: DataFrame, names: list[str], identity=IDENTITY) -> pa.Table:
+    """``y, x, gone, come`` of each of ``rows(text, toxic)``: its features, and those that each swap takes away and brings."""
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches):
         for b in batches:
             out = []
+            ids = lambda s: {index[f] for w in s for f in of_word(w) if f in index}
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = word_set(text)
-                ids = lambda s: sorted({index[f] for w in s for f in of_word(w) if f in index})
-                out.append((float(y), ids(words), [ids(s) for s in swapped(words, identity)]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.list_(pa.int32())))], ["y", "x", "swaps"])
+                before, after = swapped(words, identity)
+                old = ids(before)
+                pairs = [(sorted(old - new), sorted(new - old)) for new in map(ids, after)]
+                out.append((float(y), sorted(ids(words)), [a for a, _ in pairs], [b for _, b in pairs]))
+            kinds = (pa.float64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["y", "x", "gone", "come"])
+
+    return rows.mapInArrow(run, "y double, x array<int>, gone array<array<int>>, come array<array<int>>").toArrow()
+
 
-    got = rows.mapInArrow(run, "y double, x array<int>, swaps array<array<int>>").toArrow()
-    x, swaps = got.column("x").to_pylist(), [(i, s) for i, r in enumerate(got.column("swaps").to_pylist()) for s in r]
-    w, bias = fit(x, got.column("y").to_numpy(), swaps, len(names), penalty)
+def train(rows: DataFrame, features: int = FEATURES, penalty: float = PENALTY, identity=IDENTITY) -> tuple[dict[str, float], float]:
+    """The model of ``rows(text, toxic)``, which must be bounded: weights by feature, and the intercept."""
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    ones, zeros = n.get(1, 0), n.get(0, 0)
+    if not ones or not zeros:
+        return {}, math.log((ones + 0.5) / (zeros + 0.5))
+    names = choose(count_features(rows), ones, zeros, features)
+    got = lessons(rows, names, identity)
+    w, bias = fit(got.column("x").to_pylist(), got.column("y").to_numpy(), changes(got), len(names), penalty)
     return {f: float(v) for f, v in zip(names, w, strict=True) if v}, bias
 
 
+def changes(got: pa.Table) -> list[tuple[list[int], list[int]]]:
+    """The swaps of ``lessons`` that change a feature."""
+    return [(a, b) for gone, come in zip(got.column("gone").to_pylist(), got.column("come").to_pylist(), strict=True) for a, b in zip(gone, come, strict=True) if a or b]
+
+
 def with_score(docs: DataFrame, model: tuple[dict[str, float], float], keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """The score as ``name`` and the columns ``keep`` (all without it) of ``docs``; the model is bounded by its number of features."""
     weights, bias = model

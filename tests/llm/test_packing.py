@@ -55,3 +55,44 @@ def test_long_texts_are_tokenized_like_whole_ones(monkeypatch):
     whole = packing.encode(text)
     monkeypatch.setattr(packing, "CHUNK", 97)
     assert packing.encode(text) == whole
+
+
+def brute(sizes, capacities, opening):
+    """Best fit by looking at every bin for every piece."""
+    room, fill, touched, out, rest = [], [], [], [], sum(sizes)
+    for turn, size in enumerate(sizes):
+        fits = [(r, -touched[k], k) for k, r in enumerate(room) if r >= size]
+        if fits:
+            k = min(fits)[2]  # of equal rooms the bin that was used last
+        else:
+            able = [c for c in capacities if c >= size]
+            c = opening if opening and opening >= size else min(able, key=lambda c: packing.cost(c) / min(c, rest))
+            k = len(room)
+            room.append(c)
+            fill.append(0)
+            touched.append(turn)
+        touched[k] = turn
+        out.append((k, fill[k]))
+        room[k] -= size
+        fill[k] += size
+        rest -= size
+    return out, fill, room
+
+
+def test_best_fit_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        capacities = (16, 40, 100)
+        sizes = sorted((rng.randint(1, 100) for _ in range(rng.randint(1, 80))), reverse=True)
+        for opening in (None, *capacities):
+            out, fill = packing.best_fit(sizes, capacities, opening)
+            _, want, _ = brute(sizes, capacities, opening)
+            assert sorted(fill) == sorted(want)
+            at = {}
+            for (k, offset), size in zip(out, sizes, strict=True):
+                assert offset == at.get(k, 0)
+                at[k] = offset + size
+        _, final = packing.pack(sizes, capacities)
+        assert sum(map(packing.cost, final)) == min(sum(packing.cost(next(c for c in capacities if c >= f)) for f in brute(sizes, capacities, o)[1]) for o in (None, *capacities))
