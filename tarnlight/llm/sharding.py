@@ -1,11 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows with one text form a group that is never split. Groups above a ``1 / (shards * FINE)`` part of all bytes are packed
-one by one (there are at most ``shards * FINE`` of them); the rest is dealt by hash of the text into ``shards * LOTS``
-lots, themselves indivisible. So the driver packs a number of items that depends on the shard count alone, whatever the
-input. Items go, by falling size, into the bin with the tightest remaining capacity that still holds them, found in a
-balanced tree; the smallest capacity at which all fit is sought by halving, so shards come out near equal. A group larger
-than a fair share takes a shard of its own, and the others share out the rest.
+Rows with one text form a group that is never split. Groups are sorted by falling size and enter the bin with the tightest
+remaining capacity that still holds them, found in a balanced tree; where none does, a bin opens. That is done twice. First
+groups are packed into bins of a fixed capacity, a small part of a shard, by regions of about ``REGION`` groups, a task
+each; a region's smallest groups, with 1/``SAND`` of its bytes, get bins of 1/``SAND`` of the capacity, which level out the
+shards later. Then the bins, and the groups above a ``1 / (shards * FINE)`` part of all bytes or rows, are packed into the
+shards on the driver: at most ``2 * shards * (FINE + 2 * BINS)`` and two a region, of which there are at most
+``MOST_REGIONS``, whatever the input. The smallest capacity at which all fit is sought by halving, so shards come out near
+equal. A group larger than a fair share takes a shard of its own, and the others share out the rest.
 
 Defined results: a null text counts 0 bytes (size 1, crc32 0) and all null texts with the empty texts form one group.
 Repeated rows and ids are kept, each with its own slot. Ties of size go by key. An empty table gives no rows. Extra columns
@@ -14,15 +16,13 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.common import Scratch
 
-FINE, LOTS = 64, 256
+FINE, BINS, SAND, REGION, MOST_REGIONS = 64, 128, 16, 20_000, 16_384
 #: Rows numbered by one task for slots.
 RUN = 50_000
 
@@ -169,44 +169,53 @@ def slots(rows: DataFrame, by: str, order: list[str], scratch: Scratch) -> DataF
     return rows.withColumn("_in", inner).join(sums, [by, "_run"]).withColumn("slot", (F.col("_before") + F.col("_in")).cast("long")).drop("_run", "_in", "_before")
 
 
+def binned(groups: DataFrame, capacity: int, region: int = REGION, sand: int = 1) -> DataFrame:
+    """``key, size, bin`` string of ``groups(key, size)``: bins of ``capacity`` by best-fit-decreasing, in regions by hash of the key.
+
+    A group above the capacity gets a bin of its own size. ``sand``: see above; 1 for none.
+    """
+    regions = max(1, min(MOST_REGIONS, -(-groups.count() // region)))
+
+    def pack_region(t: pa.Table) -> pa.Table:
+        items = sorted(zip(t.column("key").to_pylist(), t.column("size").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+        n, tail = len(items), sum(s for _, s in items) // sand if sand > 1 else 0
+        while n and items[n - 1][1] <= min(tail, capacity // sand):
+            tail, n = tail - items[n - 1][1], n - 1
+        name = t.column("region")[0].as_py()
+        out = [(k, f"{name}-{at}") for k, at in best_fit_decreasing(items[:n], capacity).items()]
+        out += [(k, f"{name}-s{at}") for k, at in best_fit_decreasing(items[n:], capacity // sand).items()]
+        sizes = dict(items)
+        return pa.table({"key": [k for k, _ in out], "size": pa.array([sizes[k] for k, _ in out], pa.int64()), "bin": [b for _, b in out]})
+
+    return groups.select(F.pmod(F.xxhash64("key"), F.lit(regions).cast("long")).alias("region"), "key", "size").groupBy("region").applyInArrow(pack_region, "key string, size long, bin string")
+
+
 def shard(docs: DataFrame, shards: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "sharding")
     rows = scratch.save(keyed(docs), "keyed")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    lots = shards * LOTS
-    lot = F.concat(F.lit("lot"), F.pmod(F.xxhash64("key"), F.lit(lots).cast("long")).cast("string"))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    big = groups.filter(F.col("size") * (shards * FINE) > total)  # at most shards * FINE
-    sizes = big.select(F.col("key").alias("item"), "size")
-    small = groups.filter(F.col("size") * (shards * FINE) <= total).groupBy(lot.alias("item")).agg(F.sum("size").alias("size"))
-    items = [(r["item"], r["size"]) for r in sizes.unionByName(small).collect()]  # at most shards * (FINE + LOTS)
-    placed = list(pack(items, shards).items())
-    where = spark.createDataFrame(placed, "item string, shard int")
-    large = F.broadcast(where.filter(~F.col("item").startswith("lot")).select(F.col("item").alias("key"), F.lit(True).alias("_big")))
-    rows = rows.join(large, "key", "left").withColumn("item", F.when(F.col("_big"), F.col("key")).otherwise(lot)).join(F.broadcast(where), "item")
-    rows = scratch.save(rows.select("doc_id", "size", "text_crc32", "shard"), "sharded")
-    return slots(rows, "shard", ["doc_id", "text_crc32", "size"], scratch)
-
-
-def pack_fixed(docs: DataFrame, capacity: int, region_rows: int = 100_000) -> DataFrame:
-    """``doc_id, size, text_crc32, shard`` string with as few shards of ``capacity`` bytes as best-fit-decreasing finds.
-
-    Groups are dealt by hash of the text into regions of about ``region_rows`` groups, each packed on its own by one task.
-    A group above the capacity gets a shard of its own size.
-    """
+    groups = scratch.save(rows.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
+    total, count = (x or 0 for x in groups.agg(F.sum("size"), F.sum("n")).first())
+    large = (F.col("size") * (shards * FINE) > total) | (F.col("n") * (shards * FINE) > count)
+    big = groups.filter(large).select("key", "size")
+    bins = scratch.save(binned(groups.filter(~large), max(1, -(-total // (shards * BINS))), sand=SAND), "bins")
+    sizes = bins.groupBy("bin").agg(F.sum("size").alias("size"))
+    items = [(f"={r['key']}", r["size"]) for r in big.collect()] + [(r["bin"], r["size"]) for r in sizes.collect()]  # bounded: see above
+    placed = pack(items, shards)
+    where = lambda some, name: F.broadcast(spark.createDataFrame(some, f"{name} string, shard int"))
+    alone = where([(k[1:], v) for k, v in placed.items() if k[0] == "="], "key")
+    rest = bins.join(where([(k, v) for k, v in placed.items() if k[0] != "="], "bin"), "bin").select("key", "shard")
+    found = rows.join(alone, "key").unionByName(rows.join(alone, "key", "left_anti").join(rest, "key"))
+    found = scratch.save(found.select("doc_id", "size", "text_crc32", "shard"), "sharded")
+    return slots(found, "shard", ["doc_id", "text_crc32", "size"], scratch)
+
+
+def pack_fixed(docs: DataFrame, capacity: int, region: int = REGION) -> DataFrame:
+    """``doc_id, size, text_crc32, shard`` string with as few shards of ``capacity`` bytes as best-fit-decreasing finds in each region."""
     rows = Scratch(docs.sparkSession, "sharding").save(keyed(docs), "keyed")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    regions = max(1, -(-groups.count() // region_rows))
-
-    def region(pdf):
-        r = pdf["region"].iloc[0] if len(pdf) else 0
-        at = best_fit_decreasing(list(zip(pdf["key"], pdf["size"], strict=True)), capacity)
-        return pdf.assign(shard=[f"{r}-{at[k]}" for k in pdf["key"]])[["key", "shard"]]
-
-    placed = groups.withColumn("region", F.pmod(F.xxhash64("key"), F.lit(regions).cast("long"))).groupBy("region").applyInPandas(region, "key string, shard string")
-    return rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard")
+    placed = binned(rows.groupBy("key").agg(F.sum("size").alias("size")), capacity, region)
+    return rows.join(placed.select("key", F.col("bin").alias("shard")), "key").select("doc_id", "size", "text_crc32", "shard")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

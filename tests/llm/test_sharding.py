@@ -40,6 +40,35 @@ def test_odd_rows(spark, docs_of):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_bins_of_many_groups_are_level(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), (F.pow(F.rand(3), 4) * 3_000).cast("int"))).alias("text"))
+    sums = [r["bytes"] for r in sharding.shard(rows).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(sums) == 16 and max(sums) - min(sums) < 0.002 * sum(sums) / 16
+
+
+def brute_best_fit(items, capacity):
+    rooms, out = [], {}
+    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
+        fits = [(room, i) for i, room in enumerate(rooms) if room >= size]
+        if fits:
+            at = min(fits)[1]
+        else:
+            at = len(rooms)
+            rooms.append(max(capacity, size))
+        rooms[at] -= size
+        out[key] = at
+    return out
+
+
+def test_best_fit_against_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(50):
+        items = [(f"k{i}", rng.randint(1, 60)) for i in range(rng.randint(0, 120))]
+        assert sharding.best_fit_decreasing(items, 50) == brute_best_fit(items, 50)
+
+
 def test_tree_and_best_fit():
     assert sharding.best_fit_decreasing([("a", 6), ("b", 5), ("c", 4), ("d", 3), ("e", 2)], 10) == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 1}
     tree, live = sharding.Tree(), set()
