@@ -4,9 +4,10 @@ Texts are tokenized in the order in which tasks read them, an end mark after eac
 ids; the last sequence of a task is filled up with end marks. The sequences are kept in one table with their number (task,
 position), so a lost executor changes nothing. A keyed Feistel permutation with cycle-walking maps the gapless numbers 0 to
 N - 1 one to one onto slots, the global training order. Sequences then go to the task of their shard, a range of
-``SHARD_ROWS`` slots, which writes them in order as little-endian 16-bit ids: the sequence of slot ``s`` begins at byte
-``(s % SHARD_ROWS) * LENGTH * 2`` of shard ``s // SHARD_ROWS``. A reader can start at any slot with one seek. A shard is
-written under another name and moved, so a task that runs twice does no harm. The order depends on the key and on the
+``shard_rows`` slots, which writes them in order as little-endian 16-bit ids: the sequence of slot ``s`` begins at byte
+``(s % shard_rows) * LENGTH * 2`` of shard ``s // shard_rows``. A reader can start at any slot with one seek. A shard has
+``SHARD_ROWS`` slots, doubled until at most ``MOST_SHARDS`` shards are left. It is written under another name and moved, so
+a task that runs twice does no harm. The order depends on the key and on the
 table of sequences alone.
 
 Defined results: null and empty texts give an end mark. Repeated rows and ids are kept. An empty table gives no sequences
@@ -25,10 +26,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlight.llm.common import Scratch
+from tarnlight.llm.common import Scratch, shared_dir
 from tarnlight.llm.packing import END, VOCABULARY, encode
 
 LENGTH, SHARD_ROWS, KEY, ROUNDS = 1_024, 8_192, 0x5EED_0F_0DE5, 6
+MOST_SHARDS = 65_536
 #: Offsets of so many tasks at most are broadcast (16 bytes each).
 BROADCAST_TASKS = 500_000
 
@@ -119,7 +121,15 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, vocabulary: str = VOCABULARY, scratch: Scratch | None = None) -> DataFrame:
+def shard_size(total: int) -> int:
+    """Slots of a shard for ``total`` sequences."""
+    rows = SHARD_ROWS
+    while rows * MOST_SHARDS < total:
+        rows *= 2
+    return rows
+
+
+def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int | None = None, key: int = KEY, vocabulary: str = VOCABULARY, scratch: Scratch | None = None) -> DataFrame:
     """Writes the shards of ``docs(doc_id, text)`` to the folder ``out``, which all executors must share.
 
     Returns a row per sequence: slot, shard, byte_offset, doc_ids, first_start, n_tokens, ids_crc32.
@@ -128,6 +138,7 @@ def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int
     table = scratch.save(sequences(docs, length, vocabulary).withColumn("uid", F.monotonically_increasing_id()), "sequences")
     counts = scratch.save(table.groupBy(F.shiftright("uid", 33).alias("task")).agg(F.count("*").alias("n")), "counts")  # a row per task
     total, tasks = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shard_rows = shard_rows or shard_size(total)
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     before = F.broadcast(before) if tasks <= BROADCAST_TASKS else before
 
@@ -168,8 +179,9 @@ def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_rows: int
     return scratch.save(index, "index")
 
 
-def read(out: str, slot: int, count: int, total: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS):
+def read(out: str, slot: int, count: int, total: int, length: int = LENGTH, shard_rows: int | None = None):
     """Yields the ids of ``count`` sequences in training order from ``slot`` on: a seek, then sequential reads."""
+    shard_rows = shard_rows or shard_size(total)
     system, path = place(out)
     at, end = slot, min(total, slot + count)
     while at < end:
@@ -183,5 +195,7 @@ def read(out: str, slot: int, count: int, total: int, length: int = LENGTH, shar
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "tokens")
-    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), f"{scratch.root}/shards", scratch=scratch)
+    """The shards go to a new folder ``training-order/...`` in the shared folder and stay there; ``path`` names each."""
+    out = f"{shared_dir(spark)}/training-order/{uuid.uuid4().hex}"
+    index = materialise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), out)
+    return index.withColumn("path", F.format_string(f"{out}/shard-%08d.bin", "shard"))

@@ -46,6 +46,19 @@ def test_round_trip(spark, sf, tmp_path):
     assert len(resumed) == 60 and all((a == b).all() for a, b in zip(resumed, whole[77:137], strict=True))
 
 
+def test_shards_follow_the_input():
+    assert token_output.shard_size(0) == token_output.shard_size(8_192 * 65_536) == 8_192
+    assert token_output.shard_size(8_192 * 65_536 + 1) == 16_384
+    assert -(-5 * 10**10 // token_output.shard_size(5 * 10**10)) <= token_output.MOST_SHARDS
+
+
+def test_query_keeps_its_shards(spark, sf):
+    index = token_output.op5_training_order(spark, sf).orderBy("slot").collect()
+    out = index[0]["path"].rsplit("/", 1)[0]
+    assert all(r["path"] == f"{out}/{token_output.shard_name(r['shard'])}" for r in index)
+    assert len(list(token_output.read(out, 0, len(index), len(index)))) == len(index)
+
+
 def test_odd_rows(spark, docs_of, tmp_path):
     docs = docs_of([None, "", "a", "word " * 30_000]).withColumn("slot", F.lit("clash")).withColumn("ids", F.lit(1))
     index = token_output.materialise(docs, f"file://{tmp_path}/a", length=64, shard_rows=100).collect()
