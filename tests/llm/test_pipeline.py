@@ -3,12 +3,19 @@
 import ast
 import pathlib
 
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tarnlight.llm import toxicity as tox
 from tests.llm.brute import shingle_set
 from tests.llm.test_similar import labels_of
 from tests.llm.test_suffix_dedup import left_of, odd_rows
+from tests.llm.test_toxicity import plain_score
+
+
+def words_of(text):
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
 
 
 def stages(spark, docs, sf, tmp_path):
@@ -24,7 +31,7 @@ def test_stages_on_the_table(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, seen = docs.columns, []
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
-    items = [shingle_set(r["text"].lower().replace(",", " ").replace(".", " ").split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items = [shingle_set(words_of(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for name, before, after in stages(spark, docs, sf, tmp_path):
         seen.append(name)
         old, new = ({r["doc_id"]: r for r in x.collect()} for x in (before, after))
@@ -34,6 +41,8 @@ def test_stages_on_the_table(spark, sf, tmp_path):
             gone = old.keys() - new.keys()
             labelled = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
             assert len(gone & toxic) >= 0.8 * len(toxic) and len(gone & (labelled - toxic)) <= 0.05 * len(labelled)
+            model = tox.train(tox.labelled(before, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")))
+            assert gone == {i for i, r in old.items() if plain_score(r["text"], model) >= tox.THRESHOLD}
         elif name == "simhash":
             ids = sorted(old)
             group = labels_of([old[i]["text"] for i in ids])
@@ -44,12 +53,8 @@ def test_stages_on_the_table(spark, sf, tmp_path):
             assert {i: r["text"] for i, r in new.items()} == {i: t for i, (x, gone, _) in zip(ids, left, strict=True) if (t := x.decode("utf-8", "ignore")) or not gone}
             assert all(len(r["text"]) == r["n_chars"] for i, r in new.items() if r["text"] != old[i]["text"])
         elif name == "decontamination":
-            for d in old.keys() - new.keys():
-                own = shingle_set(old[d]["text"].lower().replace(",", " ").replace(".", " ").split())
-                assert any(len(own & s) >= 0.5 * len(s) for s in items)
-            for d in new:
-                own = shingle_set(new[d]["text"].lower().replace(",", " ").replace(".", " ").split())
-                assert not any(len(own & s) >= 0.9 * len(s) for s in items)
+            leaks = {d for d, r in old.items() if any(5 * len(shingle_set(words_of(r["text"])) & s) >= 4 * len(s) for s in items)}
+            assert old.keys() - new.keys() == leaks
         else:
             assert new.keys() == old.keys() and all(c in after.columns for c in ("bin", "bin_offset", "bin_capacity"))
     assert seen == ["toxicity", "simhash", "suffix", "decontamination", "packing"]
