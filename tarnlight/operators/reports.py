@@ -55,6 +55,17 @@ def dump_parts(entries: DataFrame, most: int) -> DataFrame:
     return sizes.repartition("top_folder").sortWithinPartitions("top_folder", "rel").mapInPandas(fold, "top_folder string, rel string, bytes long, part int")
 
 
+def write_dumps(rows: DataFrame, out: str, most: int) -> None:
+    """Text files below ``out``, a folder for each top folder and part: the entries of ``dump_entries`` in order of path.
+
+    A part is written by one task and has at most ``most`` bytes, or one entry.
+    """
+    entries = dump_entries(rows)
+    placed = entries.join(dump_parts(entries, most).select("top_folder", "rel", "part"), ["top_folder", "rel"])
+    parts = placed.repartition("top_folder", "part").sortWithinPartitions("top_folder", "part", "rel")
+    parts.select("top_folder", "part", F.regexp_replace("entry", r"\n$", "").alias("value")).write.partitionBy("top_folder", "part").text(out)
+
+
 def dump_manifest(rows: DataFrame) -> DataFrame:
     """``top_folder, files_dumped, skipped, bytes`` of ``rows(top_folder, text, ...)``."""
     has = F.coalesce("text", F.lit("")) != ""
