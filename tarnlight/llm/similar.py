@@ -6,11 +6,13 @@ of the wanted similarity differ by at most ``2 * HALF`` bits in one of the block
 and there they share a variant within ``HALF`` bits of both. The width of a block follows the logarithm of the number of
 texts, so what collides by chance stays a few texts to each, and the number of blocks follows from width and recall.
 
-Where few texts share a variant, all pairs near by ``CHECK`` bits of the fingerprint are candidates. In a crowd each text is
-linked to the nearest of ``LEADERS`` texts alone, those nearest to the crowd's centre and some by chance, and is marked.
-Links are verified on the shingle sets themselves: first each text's nearest, then those that still join different groups.
-That joins a crowd of near copies. What is near in a crowd of merely similar texts comes from a search without loss: the
-marked texts of different groups are joined on the shingles that are rarest among them (a prefix filter).
+A rough pass over ``FIRST`` blocks links each text to one near it, so that a crowd of near copies is one group before the
+main pass, which looks at texts of different groups alone. Where few texts share a variant (``FEW``), all pairs near by
+``CHECK`` bits of the fingerprint are candidates. In a crowd of several groups each text outside the largest is linked to the
+nearest of ``LEADERS`` texts, those nearest to the crowd's centre and some by chance, and all its groups are marked. Links
+are verified on the shingle sets themselves: first each text's nearest, then those that still join different groups. What is
+near across marked groups comes from a search without loss: their texts are joined on the shingles that are rarest among
+them (a prefix filter).
 
 Texts with equal shingle sets (also by case and white space) are copies at once. Texts without words are copies of each
 other alone.
@@ -33,8 +35,8 @@ HALF, RECALL, CHECK = 1, 0.99, 128
 #: Bits of a block over the logarithm of the number of texts, so that few collide by chance.
 SPARE, LEAST_WIDTH, MOST_WIDTH = 8, 24, 52
 WEIGHT, STEP = 1_000_000, 6
-#: Texts under one variant that are all compared, and leaders of a crowd.
-FEW, LEADERS = 32, 32
+#: Texts under one variant that are all compared, leaders of a crowd, and blocks of the rough pass.
+FEW, LEADERS, FIRST = 4, 32, 3
 #: Counters of shingles, which set the order of the prefix filter and so its cost, not what it finds.
 COUNTERS = 1 << 18
 LINK = "a long, b long, d long, crowded boolean"
@@ -108,10 +110,12 @@ def distance(v1: np.ndarray, v2: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(v1[a] ^ v1[b]).astype(np.int64) + np.bitwise_count(v2[a] ^ v2[b])
 
 
-def met(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def met(r: np.ndarray, c: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int, rough: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take near pairs or leaders.
 
-    The last of the arrays marks links of a crowd. There a text far from all leaders is linked to itself, for the mark.
+    Texts of one group ``c`` need no link. Of its crowds, a text outside their largest groups is linked to the nearest leader of
+    another group; the last array marks what crowds of several groups give, with a link to itself of one text of each group.
+    ``rough``: every text to a near one, or to the nearest leader, without marks.
     """
     low = fp & np.uint64((1 << width) - 1)
     parts, owners = [], []
@@ -119,29 +123,42 @@ def met(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.
         at = np.flatnonzero(left == n)
         masks = flips(width, int(n))[0]
         parts.append((low[at][:, None] ^ masks[None, :]).ravel())
-        owners.append(np.repeat(at, len(masks)))
+        owners.append(np.repeat(at.astype(np.int32), len(masks)))
     values, owner = np.concatenate(parts), np.concatenate(owners)
     order = np.lexsort((r[owner], values))
     values, owner = values[order], owner[order]
     starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(values)])))
     size = np.repeat(sizes, sizes)
-    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
-    for k in range(1, min(FEW, int(sizes.max()))):
+    out, led = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)], [(np.zeros(0, np.int64),) * 3]
+    for k in range(1, 2 if rough else min(FEW, int(sizes.max()))):
         at = np.flatnonzero((values[k:] == values[:-k]) & (size[k:] <= FEW))
+        at = at[c[owner[at]] != c[owner[at + k]]]
         d = distance(v1, v2, owner[at], owner[at + k])
         at, d = at[d <= most], d[d <= most]
         out.append((owner[at], owner[at + k], d, np.zeros(len(at), bool)))
     for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
         ids = owner[s : s + n]
+        groups, first, at, members = np.unique(c[ids], return_index=True, return_inverse=True, return_counts=True)
+        if len(groups) == 1:
+            continue
         bits = np.unpackbits(np.stack([v1[ids], v2[ids]], 1).view(np.uint8), axis=1)
         centre = bits.sum(0, dtype=np.int64) * 2 > n
         middle = np.argsort((bits != centre).sum(1), kind="stable")[: LEADERS // 2]
         lucky = np.argsort((r[ids].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")[: LEADERS // 2]
         leaders = ids[np.unique(np.concatenate((middle, lucky)))]
-        d = np.stack([np.where(ids == x, 1 << 20, distance(v1, v2, ids, np.full(n, x))) for x in leaders], 1)
-        at, least = d.argmin(1), d.min(1)
-        out.append((ids, np.where(least <= most, leaders[at], ids), np.where(least <= most, least, 0), np.ones(n, bool)))
+        some = ids if rough else ids[at != members.argmax()]
+        d = np.stack([np.where(c[some] == c[x], 1 << 20, distance(v1, v2, some, np.full(len(some), x))) for x in leaders], 1)
+        best, least = d.argmin(1), d.min(1)
+        near = least <= most
+        led.append((some[near], leaders[best[near]], least[near]))
+        if not rough:
+            out.append((ids[first], ids[first], np.zeros(len(first), np.int64), np.ones(len(first), bool)))
+    # of all the crowds a text is in, its nearest leader
+    a, b, d = (np.concatenate(x) for x in zip(*led, strict=True))
+    order = np.lexsort((b, d, a))
+    order = order[np.concatenate(([True], a[order][1:] != a[order][:-1]))] if len(a) else order
+    out.append((a[order], b[order], d[order], np.full(len(order), not rough)))
     a, b, d, crowded = (np.concatenate(x) for x in zip(*out, strict=True))
     a, b = r[a], r[b]
     a, b = np.maximum(a, b), np.minimum(a, b)
@@ -151,39 +168,44 @@ def met(r: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.
     return a[new], b[new], d[new], crowded[new]
 
 
-def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """``(a, b, d, crowded)``, a > b: links between ``classes(r, blocks, v1, v2)`` to verify, with their distance in check bits.
+def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scratch, rough: bool = False) -> DataFrame:
+    """``(a, b, d, crowded)``, a > b: links between ``classes(r, c, blocks, v1, v2)`` of different ``c`` to verify, with their distance in check bits.
 
-    ``crowded``: both texts share a variant with a crowd; such links are not all that are near. A mark alone has a = b.
+    ``crowded``: found in a crowd, where links are not all that are near; a = b marks the group of a text that is in one.
+    ``rough``: enough to join most crowds, and no marks.
     """
     p = flip_rate(similarity)
     most = math.ceil(CHECK * p + 4 * math.sqrt(CHECK * p * (1 - p)))
     n = classes.count()
     bits = max(1, min(width - 4, math.ceil(math.log2(max(2, n * weight(width, HALF) / WEIGHT)))))
-    rows = classes.select("r", "v1", "v2", F.posexplode("blocks").alias("key", "fp")).select(F.col("key").cast("long").alias("key"), F.lit(HALF).alias("left"), "fp", "r", "v1", "v2")
+    own = ["r", "c", "v1", "v2"]
+    rows = classes.select(*own, F.posexplode("blocks").alias("key", "fp")).select(F.col("key").cast("long").alias("key"), F.lit(HALF).alias("left"), "fp", *own)
     rows, found = unfolded(rows, 0, bits, HALF, width), None
 
     def group(rest):
         def run(t: pa.Table) -> pa.Table:
-            a, b, d, crowded = met(*(t.column(c).to_numpy().view(k) for c, k in (("r", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64))), t.column("left").to_numpy(), rest, most)
+            a, b, d, crowded = met(*(t.column(x).to_numpy().view(k) for x, k in (("r", np.int64), ("c", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64))), t.column("left").to_numpy(), rest, most, rough)
             return pa.table({"a": a, "b": b, "d": d, "crowded": crowded})
 
         return run
 
     while True:
         cost = F.element_at(F.array(*[F.lit(weight(width - bits, i)).cast("long") for i in range(HALF + 1)]), F.col("left") + 1)
-        hot = scratch.save(rows.groupBy("key").agg(F.sum(cost).alias("w")).filter(F.col("w") > 4 * WEIGHT), "hot")
+        hot = scratch.save(rows.groupBy("key").agg(F.sum(cost).alias("w"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("w") > 4 * WEIGHT), "hot")
         any_hot = not hot.isEmpty()
         cool = rows.join(hot.select("key"), "key", "left_anti") if any_hot else rows
         here = cool.groupBy("key").applyInArrow(group(width - bits), LINK)
+        mixed = hot.filter("low < high")  # a crowd of one group needs no links
         if any_hot and bits == width:
             # one variant with an unbounded crowd: parts by chance, each with one text that all parts share
-            crowd = rows.join(hot.select("key", F.ceil(F.col("w") / WEIGHT).cast("int").alias("parts")), "key")
-            shared = crowd.groupBy("key").agg(F.min_by(F.struct("left", "fp", "r", "v1", "v2", "parts"), F.xxhash64("key", "r")).alias("x"))
+            crowd = rows.join(mixed.select("key", F.ceil(F.col("w") / WEIGHT).cast("int").alias("parts")), "key")
+            shared = crowd.groupBy("key").agg(F.min_by(F.struct("left", "fp", *own, "parts"), F.xxhash64("key", "r")).alias("x"))
             shared = shared.select("key", "x.*", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
-            crowd = crowd.withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts").cast("long")).cast("int")).unionByName(shared).select("key", "part", "left", "fp", "r", "v1", "v2").dropDuplicates(["key", "part", "r"])
-            marks = crowd.select(F.col("r").alias("a"), F.col("r").alias("b"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("crowded"))
-            here = here.unionByName(crowd.groupBy("key", "part").applyInArrow(group(0), LINK)).unionByName(marks)
+            crowd = crowd.withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts").cast("long")).cast("int")).unionByName(shared).select("key", "part", "left", "fp", *own).dropDuplicates(["key", "part", "r"])
+            here = here.unionByName(crowd.groupBy("key", "part").applyInArrow(group(0), LINK))
+            if not rough:
+                marks = crowd.groupBy("c").agg(F.min("r").alias("a"))
+                here = here.unionByName(marks.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("crowded")))
             any_hot = False
         if not any_hot and found is None:
             return here
@@ -192,7 +214,7 @@ def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scrat
         if not any_hot:
             return found
         step = min(STEP, width - bits)
-        rows = scratch.save(unfolded(rows.join(hot.select("key"), "key", "left_semi"), bits, bits + step, HALF, width), "refined")
+        rows = scratch.save(unfolded(rows.join(mixed.select("key"), "key", "left_semi"), bits, bits + step, HALF, width), "refined")
         bits += step
 
 
@@ -267,6 +289,13 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, scratch: Scr
     return found.select(F.greatest("xr", "yr").alias("a"), F.least("xr", "yr").alias("b")).distinct()
 
 
+def nearest(links: DataFrame) -> DataFrame:
+    """``(a, b)``, a > b: of each text the link of least distance."""
+    both = links.select("a", "b", "d").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
+    return best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, k1, k2 (key of the text), group for each row of ``docs(doc_id, text)``. Near copies have one group.
 
@@ -277,35 +306,50 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch:
     rows = scratch.save(prints(docs, shingle, width, blocks), "prints")
     classes = rows.groupBy("c1", "c2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("blocks").alias("blocks"), F.first("v1").alias("v1"), F.first("v2").alias("v2"))
     classes = scratch.save(classes.withColumn("r", F.monotonically_increasing_id()), "classes")
-    links = candidates(classes.select("r", "blocks", "v1", "v2"), width, similarity, scratch)
+    text = F.col("text").cast("string")
+    own = classes.filter(F.size("blocks") > 0).select("r", "one.k1", "one.k2")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = own.join(ids, "r")
+        return docs.select(*text_key(text), text.alias("text")).join(wanted, ["k1", "k2"]).groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.select("a").unionByName(df.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "r")
+
+    def in_groups(df: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(found.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    # crowds, by a few blocks
+    some = classes.select("r", F.col("r").alias("c"), F.slice("blocks", 1, FIRST).alias("blocks"), "v1", "v2")
+    best = scratch.save(nearest(candidates(some, width, similarity, scratch, rough=True)), "rough")
+    good = scratch.save(verified(best, texts_of(ends(best)), shingle, similarity), "good")
+    found = scratch.save(components(good, scratch), "first")
+    # what is near across the groups so far, by all blocks
+    some = in_groups(classes.select("r", "blocks", "v1", "v2"), found, "r", "c")
+    links = candidates(some.select("r", "c", "blocks", "v1", "v2"), width, similarity, scratch)
     links = scratch.save(links.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("crowded").alias("crowded")), "links")
-    ends = lambda df: df.select("a").unionByName(df.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "r")
-    near, crowd = ends(links), ends(links.filter("crowded"))
+    crowd = links.filter("crowded").select(F.col("a").alias("r")).unionByName(links.filter("crowded").select(F.col("b").alias("r"))).distinct()
     links = links.filter("a <> b")
+    texts = scratch.save(texts_of(ends(links)), "texts")
     # a text's nearest: most groups hang together by these alone
-    best = links.select("a", "b", "d").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
-    best = scratch.save(best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct(), "nearest")
-    own = classes.join(near, "r", "left_semi").select("r", "one.k1", "one.k2")
-    text = F.col("text").cast("string")
-    texts = docs.select(*text_key(text), text.alias("text")).join(own, ["k1", "k2"]).groupBy("r").agg(F.min("text").alias("text"))
-    texts = scratch.save(texts, "texts")
-    good = scratch.save(verified(best, texts, shingle, similarity), "good")
-    first = scratch.save(components(good, scratch), "first")
-    root = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
+    best = scratch.save(nearest(links), "nearest")
+    good = scratch.save(good.unionByName(verified(best, texts, shingle, similarity)), "good")
+    found = scratch.save(components(good, scratch), "second")
     rest = links.join(best, ["a", "b"], "left_anti").select("a", "b")
-    for c in ("a", "b"):
-        rest = rest.join(first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    rest = scratch.save(rest.filter(root("a") != root("b")).select("a", "b"), "rest")
+    rest = in_groups(in_groups(rest, found, "a", "c1"), found, "b", "c2").filter("c1 <> c2").select("a", "b")
+    rest = scratch.save(rest, "rest")
     good = scratch.save(good.unionByName(verified(rest, texts, shingle, similarity)), "good")
+    scratch.drop(texts)
     found = scratch.save(components(good, scratch), "groups")
-    crowd = scratch.save(crowd.join(found, crowd.r == found.node, "left").select("r", F.coalesce("root", "r").alias("c")), "crowd")
-    low, high = crowd.agg(F.min("c"), F.max("c")).first()
-    if low != high:
-        pairs = scratch.save(prefix_pairs(texts.join(crowd, "r"), shingle, similarity, scratch), "pairs")
-        good = scratch.save(good.unionByName(verified(pairs, texts, shingle, similarity)), "good")
+    # all texts of groups that met in a crowd
+    crowd = scratch.save(in_groups(crowd, found, "r", "c").select("c").distinct(), "crowd")
+    if crowd.limit(2).count() > 1:
+        members = scratch.save(texts_of(in_groups(classes.select("r"), found, "r", "c").join(crowd, "c", "left_semi").select("r", "c")), "members")
+        pairs = scratch.save(prefix_pairs(members, shingle, similarity, scratch), "pairs")
+        good = scratch.save(good.unionByName(verified(pairs, members.select("r", "text"), shingle, similarity)), "good")
         found = scratch.save(components(good, scratch), "groups")
-    scratch.drop(texts)
-    classes = classes.join(found, classes.r == found.node, "left").select("c1", "c2", F.coalesce("root", "r").alias("group"))
+        scratch.drop(members)
+    classes = in_groups(classes.select("r", "c1", "c2"), found, "r", "group").select("c1", "c2", "group")
     return scratch.save(rows.select("doc_id", "k1", "k2", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "k1", "k2", "group"), "grouped")
 
 
