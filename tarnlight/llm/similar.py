@@ -6,13 +6,13 @@ of the wanted similarity differ by at most ``2 * HALF`` bits in one of the block
 and there they share a variant within ``HALF`` bits of both. The width of a block follows the logarithm of the number of
 texts, so what collides by chance stays a few texts to each, and the number of blocks follows from width and recall.
 
-A rough pass over ``FIRST`` blocks links each text to one near it, so that a crowd of near copies is one group before the
-main pass, which looks at texts of different groups alone. Where few texts share a variant (``FEW``), all pairs near by
-``CHECK`` bits of the fingerprint are candidates. In a crowd of several groups each text outside the largest is linked to the
-nearest of ``LEADERS`` texts, those nearest to the crowd's centre and some by chance, and all its groups are marked. Links
-are verified on the shingle sets themselves: first each text's nearest, then those that still join different groups. What is
-near across marked groups comes from a search without loss: their texts are joined on the shingles that are rarest among
-them (a prefix filter).
+A rough pass over ``FIRST`` blocks links each text to one near it, and in a crowd to the text at its centre, so that a crowd of
+near copies is one group before the main pass, which looks at texts of different groups alone. Where few texts share a variant
+(``FEW``), all pairs near by ``CHECK`` bits of the fingerprint are candidates; of a crowd of several groups the groups are
+marked instead, and pairs of two marked groups are no candidates. Links are verified on the shingle sets themselves: first
+each text's nearest, then those that still join different groups. What is near across marked groups comes from a search
+without loss: their texts are joined on the shingles that are rarest among them (a prefix filter), where a map of all their
+shingles bounds what two of them can share.
 
 Texts with equal shingle sets (also by case and white space) are copies at once. Texts without words are copies of each
 other alone.
@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.llm.common import Scratch, components, fresh
-from tarnlight.llm.simhash import flips, shingle_hashes, unfolded, weight
+from tarnlight.llm.simhash import flips, roots, shingle_hashes, unfolded, weight
 
 HALF, RECALL, CHECK = 1, 0.99, 128
 #: Bits of a block over the logarithm of the number of texts, so that few collide by chance.
 SPARE, LEAST_WIDTH, MOST_WIDTH = 8, 24, 52
 WEIGHT, STEP = 1_000_000, 6
-#: Texts under one variant that are all compared, leaders of a crowd, and blocks of the rough pass.
+#: Texts under one variant that are all compared, leaders of a crowd in the rough pass, and its blocks.
 FEW, LEADERS, FIRST = 4, 32, 3
 #: Counters of shingles, which set the order of the prefix filter and so its cost, not what it finds.
 COUNTERS = 1 << 18
+#: Bits of a text's map of shingles, by which the prefix filter turns pairs down; they set its cost, too.
+SLOTS = 1024
 LINK = "a long, b long, d long, crowded boolean"
 
 
@@ -110,12 +112,13 @@ def distance(v1: np.ndarray, v2: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(v1[a] ^ v1[b]).astype(np.int64) + np.bitwise_count(v2[a] ^ v2[b])
 
 
-def met(r: np.ndarray, c: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int, rough: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take near pairs or leaders.
+def met(r: np.ndarray, c: np.ndarray, x: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.ndarray, left: np.ndarray, width: int, most: int, rough: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of the texts of one prefix: unfold the variants over the low ``width`` bits, sort, take near pairs and mark crowds.
 
-    Texts of one group ``c`` need no link. Of its crowds, a text outside their largest groups is linked to the nearest leader of
-    another group; the last array marks what crowds of several groups give, with a link to itself of one text of each group.
-    ``rough``: every text to a near one, or to the nearest leader, without marks.
+    Texts of one group ``c`` need no link, nor do those of two groups that are marked (``x``). The last array tells the marks: of
+    a crowd of several groups each group that has none, by one text linked to itself. ``rough``: of each text the nearest, be it a
+    leader of a crowd, and the text at the centre of its largest crowd, which most texts of that crowd share; the marks link all
+    texts of a crowd, and of crowds with texts in common, to one of them.
     """
     low = fp & np.uint64((1 << width) - 1)
     parts, owners = [], []
@@ -130,82 +133,96 @@ def met(r: np.ndarray, c: np.ndarray, v1: np.ndarray, v2: np.ndarray, fp: np.nda
     starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(values)])))
     size = np.repeat(sizes, sizes)
-    out, led = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)], [(np.zeros(0, np.int64),) * 3]
-    for k in range(1, 2 if rough else min(FEW, int(sizes.max()))):
+    near, central, marks = [(np.zeros(0, np.int64),) * 3], [(np.zeros(0, np.int64),) * 4], [(np.zeros(0, np.int64),) * 2]
+    for k in range(1, min(FEW, int(sizes.max()))):
         at = np.flatnonzero((values[k:] == values[:-k]) & (size[k:] <= FEW))
-        at = at[c[owner[at]] != c[owner[at + k]]]
+        at = at[(c[owner[at]] != c[owner[at + k]]) & ~(x[owner[at]] & x[owner[at + k]])]
         d = distance(v1, v2, owner[at], owner[at + k])
         at, d = at[d <= most], d[d <= most]
-        out.append((owner[at], owner[at + k], d, np.zeros(len(at), bool)))
+        near.append((owner[at], owner[at + k], d))
     for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
         ids = owner[s : s + n]
-        groups, first, at, members = np.unique(c[ids], return_index=True, return_inverse=True, return_counts=True)
-        if len(groups) == 1:
+        if (c[ids] == c[ids[0]]).all() or x[ids].all():
             continue
+        if not rough:
+            marks.append((ids[~x[ids]],) * 2)
+            continue
+        marks.append((ids, np.full(n, ids[0])))
         bits = np.unpackbits(np.stack([v1[ids], v2[ids]], 1).view(np.uint8), axis=1)
         centre = bits.sum(0, dtype=np.int64) * 2 > n
         middle = np.argsort((bits != centre).sum(1), kind="stable")[: LEADERS // 2]
         lucky = np.argsort((r[ids].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")[: LEADERS // 2]
         leaders = ids[np.unique(np.concatenate((middle, lucky)))]
-        some = ids if rough else ids[at != members.argmax()]
-        d = np.stack([np.where(c[some] == c[x], 1 << 20, distance(v1, v2, some, np.full(len(some), x))) for x in leaders], 1)
+        d = np.stack([np.where(c[ids] == c[y], 1 << 20, distance(v1, v2, ids, np.full(n, y))) for y in leaders], 1)
         best, least = d.argmin(1), d.min(1)
-        near = least <= most
-        led.append((some[near], leaders[best[near]], least[near]))
-        if not rough:
-            out.append((ids[first], ids[first], np.zeros(len(first), np.int64), np.ones(len(first), bool)))
-    # of all the crowds a text is in, its nearest leader
-    a, b, d = (np.concatenate(x) for x in zip(*led, strict=True))
-    order = np.lexsort((b, d, a))
-    order = order[np.concatenate(([True], a[order][1:] != a[order][:-1]))] if len(a) else order
-    out.append((a[order], b[order], d[order], np.full(len(order), not rough)))
-    a, b, d, crowded = (np.concatenate(x) for x in zip(*out, strict=True))
-    a, b = r[a], r[b]
-    a, b = np.maximum(a, b), np.minimum(a, b)
-    order = np.lexsort((~crowded, b, a))
-    a, b, d, crowded = a[order], b[order], d[order], crowded[order]
+        near.append((ids[least <= most], leaders[best[least <= most]], least[least <= most]))
+        d = distance(v1, v2, ids, np.full(n, ids[middle[0]]))
+        at = np.flatnonzero((d <= most) & (ids != ids[middle[0]]))
+        central.append((ids[at], np.full(len(at), ids[middle[0]]), d[at], np.full(len(at), -n)))
+    a, b, d = (np.concatenate(y) for y in zip(*near, strict=True))
+    ma, mb = (np.concatenate(y) for y in zip(*marks, strict=True))
+    if rough:
+        a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
+        order = np.lexsort((r[b], d, a))
+        order = order[np.concatenate(([True], a[order][1:] != a[order][:-1]))] if len(a) else order
+        ca, cb, cd, cn = (np.concatenate(y) for y in zip(*central, strict=True))
+        largest = np.lexsort((r[cb], cn, ca))
+        largest = largest[np.concatenate(([True], ca[largest][1:] != ca[largest][:-1]))] if len(ca) else largest
+        a, b, d = (np.concatenate((y[order], z[largest])) for y, z in ((a, ca), (b, cb), (d, cd)))
+        label = roots(len(r), ma, mb)
+        ma = np.unique(ma)
+        mb = label[ma]
+    else:
+        ma = mb = ma[np.unique(c[ma], return_index=True)[1]]
+    a, b = np.maximum(r[a], r[b]), np.minimum(r[a], r[b])
+    order = np.lexsort((d, b, a))
+    a, b, d = a[order], b[order], d[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    return a[new], b[new], d[new], crowded[new]
+    a, b, d = np.concatenate((a[new], r[ma])), np.concatenate((b[new], r[mb])), np.concatenate((d[new], np.zeros(len(ma), np.int64)))
+    return a, b, d, np.arange(len(a)) >= len(a) - len(ma)
 
 
 def candidates(classes: DataFrame, width: int, similarity: float, scratch: Scratch, rough: bool = False) -> DataFrame:
-    """``(a, b, d, crowded)``, a > b: links between ``classes(r, c, blocks, v1, v2)`` of different ``c`` to verify, with their distance in check bits.
+    """``(a, b, d, crowded)``, a > b: links between ``classes(r, c, x, blocks, v1, v2)`` of different ``c`` to verify, with their distance in check bits.
 
-    ``crowded``: found in a crowd, where links are not all that are near; a = b marks the group of a text that is in one.
-    ``rough``: enough to join most crowds, and no marks.
+    ``x``: the group is marked, and no link between two such is given. ``crowded``: no link, but a = b marks a group more, that of
+    a text in a crowd. ``rough``: enough to join most crowds; ``crowded`` there gives the texts ``a`` of a crowd ``b``.
     """
     p = flip_rate(similarity)
     most = math.ceil(CHECK * p + 4 * math.sqrt(CHECK * p * (1 - p)))
     n = classes.count()
     bits = max(1, min(width - 4, math.ceil(math.log2(max(2, n * weight(width, HALF) / WEIGHT)))))
-    own = ["r", "c", "v1", "v2"]
+    own = ["r", "c", "x", "v1", "v2"]
     rows = classes.select(*own, F.posexplode("blocks").alias("key", "fp")).select(F.col("key").cast("long").alias("key"), F.lit(HALF).alias("left"), "fp", *own)
     rows, found = unfolded(rows, 0, bits, HALF, width), None
 
     def group(rest):
         def run(t: pa.Table) -> pa.Table:
-            a, b, d, crowded = met(*(t.column(x).to_numpy().view(k) for x, k in (("r", np.int64), ("c", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64))), t.column("left").to_numpy(), rest, most, rough)
+            r, c, v1, v2, fp = (t.column(y).to_numpy().view(k) for y, k in (("r", np.int64), ("c", np.int64), ("v1", np.uint64), ("v2", np.uint64), ("fp", np.uint64)))
+            a, b, d, crowded = met(r, c, t.column("x").to_numpy(), v1, v2, fp, t.column("left").to_numpy(), rest, most, rough)
             return pa.table({"a": a, "b": b, "d": d, "crowded": crowded})
 
         return run
 
     while True:
         cost = F.element_at(F.array(*[F.lit(weight(width - bits, i)).cast("long") for i in range(HALF + 1)]), F.col("left") + 1)
-        hot = scratch.save(rows.groupBy("key").agg(F.sum(cost).alias("w"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("w") > 4 * WEIGHT), "hot")
+        hot = scratch.save(rows.groupBy("key").agg(F.sum(cost).alias("w"), F.min("c").alias("low"), F.max("c").alias("high"), F.bool_and("x").alias("marked")).filter(F.col("w") > 4 * WEIGHT), "hot")
         any_hot = not hot.isEmpty()
         cool = rows.join(hot.select("key"), "key", "left_anti") if any_hot else rows
         here = cool.groupBy("key").applyInArrow(group(width - bits), LINK)
-        mixed = hot.filter("low < high")  # a crowd of one group needs no links
+        mixed = hot.filter("low < high AND NOT marked")  # a crowd of one group needs no links
         if any_hot and bits == width:
             # one variant with an unbounded crowd: parts by chance, each with one text that all parts share
             crowd = rows.join(mixed.select("key", F.ceil(F.col("w") / WEIGHT).cast("int").alias("parts")), "key")
-            shared = crowd.groupBy("key").agg(F.min_by(F.struct("left", "fp", *own, "parts"), F.xxhash64("key", "r")).alias("x"))
-            shared = shared.select("key", "x.*", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
+            shared = crowd.groupBy("key").agg(F.min_by(F.struct("left", "fp", *own, "parts"), F.xxhash64("key", "r")).alias("one"))
+            shared = shared.select("key", "one.*", F.explode(F.sequence(F.lit(0), F.col("one.parts") - 1)).alias("part"))
             crowd = crowd.withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts").cast("long")).cast("int")).unionByName(shared).select("key", "part", "left", "fp", *own).dropDuplicates(["key", "part", "r"])
             here = here.unionByName(crowd.groupBy("key", "part").applyInArrow(group(0), LINK))
-            if not rough:
-                marks = crowd.groupBy("c").agg(F.min("r").alias("a"))
-                here = here.unionByName(marks.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("crowded")))
+            if rough:
+                marks = crowd.join(crowd.groupBy("key").agg(F.min("r").alias("b")), "key").select(F.col("r").alias("a"), "b")
+            else:
+                marks = crowd.filter("NOT x").groupBy("c").agg(F.min("r").alias("a")).select("a", F.col("a").alias("b"))
+            here = here.unionByName(marks.select("a", "b", F.lit(0).cast("long").alias("d"), F.lit(True).alias("crowded")))
             any_hot = False
         if not any_hot and found is None:
             return here
@@ -245,7 +262,9 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, scratch: Scr
     """``(a, b)``, a > b: pairs of ``texts(r, c, text)`` of different ``c``, among them all with that Jaccard similarity.
 
     With the shingles of all texts in one order, two such texts share one of their first few: the larger text's first
-    ``1 - similarity`` of its shingles and the smaller's still shorter share. The rarest come first.
+    ``1 - similarity`` of its shingles and the smaller's still shorter share. The rarest come first. As the texts of a crowd share
+    nearly all of these, each text also has a map of ``SLOTS`` bits: the shingles that occur in other texts, the commonest each
+    at a place of its own. Two texts share no more shingles than places, and those that found their place taken.
     """
     index = 2 * similarity / (1 + similarity)
 
@@ -262,29 +281,43 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, scratch: Scr
     counts = texts.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNTERS, np.int64)
     often[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    slot = np.empty(COUNTERS, np.int16)
+    slot[np.argsort(-often, kind="stable")] = np.arange(COUNTERS) % SLOTS
 
     def firsts(batches):
         for b in batches:
-            taken, sizes = [], []
-            for hashes in hashes_of(b):
-                order = np.lexsort((hashes, often[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))
-                taken.append(hashes[order[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]])
+            taken, places, sizes, over = [], [], [], []
+            places_of = np.zeros((b.num_rows, SLOTS), np.uint8)
+            for row, hashes in enumerate(hashes_of(b)):
+                at = (hashes % np.uint64(COUNTERS)).astype(np.int64)
+                n = often[at]
+                order = np.lexsort((hashes, n))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]
+                shared = n[order] > 1  # the rest meets nothing
+                taken.append(hashes[order[shared]])
+                places.append(np.flatnonzero(shared))
                 sizes.append(len(hashes))
-            n = np.array([len(x) for x in taken], np.int64)
-            own = np.repeat(np.arange(len(n)), n)
-            i = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                used = slot[at[n > 1]]
+                places_of[row, used] = 1
+                over.append(len(used) - int(places_of[row].sum()))
+            own = np.repeat(np.arange(len(taken)), [len(y) for y in taken])
             h = np.concatenate([np.zeros(0, np.uint64), *taken]).view(np.int64)
-            r, c = (b.column(x).to_numpy()[own] for x in ("r", "c"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, r, c, np.array(sizes, np.int64)[own], i)], ["h", "r", "c", "m", "i"])
-
-    rows = scratch.save(texts.select("r", "c", "text").mapInArrow(firsts, "h long, r long, c long, m long, i long"), "firsts")
+            i = np.concatenate([np.zeros(0, np.int64), *places])
+            r, c = (b.column(y).to_numpy()[own] for y in ("r", "c"))
+            m, o = (np.array(y, np.int64)[own] for y in (sizes, over))
+            words = np.packbits(places_of, axis=1, bitorder="little").view(np.int64)[own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y)) for y in (h, r, c, m, i, o, *words.T)], ["h", *own_columns])
+
+    own_columns = ["r", "c", "m", "i", "o", *(f"w{k}" for k in range(SLOTS // 64))]
+    rows = scratch.save(texts.select("r", "c", "text").mapInArrow(firsts, ", ".join(f"{k} long" for k in ("h", *own_columns))), "firsts")
     # of each shingle the commonest group need not be compared with itself
     mixed = scratch.save(rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.mode("c").alias("main")).filter("low < high").select("h", "main"), "mixed")
-    x = rows.join(mixed, "h").filter("c <> main").select("h", *(F.col(k).alias(f"x{k}") for k in "rcmi"))
-    y = rows.select("h", *(F.col(k).alias(f"y{k}") for k in "rcmi"))
+    x = rows.join(mixed, "h").filter("c <> main").select("h", *(F.col(k).alias(f"x{k}") for k in own_columns))
+    y = rows.select("h", *(F.col(k).alias(f"y{k}") for k in own_columns))
     ends = [F.struct(*(F.col(f"{side}{k}").alias(k) for k in "mri")) for side in "xy"]
     (lm, li), (sm, si) = ((s["m"], s["i"]) for s in (F.greatest(*ends), F.least(*ends)))
     fits = (sm >= similarity * lm - 1e-6) & (sm - si >= index * sm - 1e-6) & (F.least(lm - li, sm - si) * (1 + similarity) >= similarity * (lm + sm) - 1e-6)
+    both = sum((F.bit_count(F.col(f"xw{k}").bitwiseAND(F.col(f"yw{k}"))) for k in range(SLOTS // 64)), F.least("xo", "yo"))
+    fits &= both * (1 + similarity) >= similarity * (lm + sm) - 1e-6
     found = x.join(y, "h").filter((F.col("xc") != F.col("yc")) & fits)
     return found.select(F.greatest("xr", "yr").alias("a"), F.least("xr", "yr").alias("b")).distinct()
 
@@ -320,16 +353,21 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, scratch:
         return df.join(found.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
     # crowds, by a few blocks
-    some = classes.select("r", F.col("r").alias("c"), F.slice("blocks", 1, FIRST).alias("blocks"), "v1", "v2")
-    best = scratch.save(nearest(candidates(some, width, similarity, scratch, rough=True)), "rough")
+    some = classes.select("r", F.col("r").alias("c"), F.lit(False).alias("x"), F.slice("blocks", 1, FIRST).alias("blocks"), "v1", "v2")
+    rough = scratch.save(candidates(some, width, similarity, scratch, rough=True), "rough")
+    best = scratch.save(rough.filter("NOT crowded").select("a", "b").distinct(), "best")
     good = scratch.save(verified(best, texts_of(ends(best)), shingle, similarity), "good")
     found = scratch.save(components(good, scratch), "first")
-    # what is near across the groups so far, by all blocks
-    some = in_groups(classes.select("r", "blocks", "v1", "v2"), found, "r", "c")
-    links = candidates(some.select("r", "c", "blocks", "v1", "v2"), width, similarity, scratch)
+    # the groups of crowds that are not one group now: what is near among these is found last
+    crowd = in_groups(rough.filter("crowded").select("a", "b"), found, "a", "c")
+    several = crowd.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("b")
+    crowd = scratch.save(crowd.join(several, "b").select("c").distinct(), "crowds")
+    # what is near across the other groups so far, by all blocks
+    some = in_groups(classes.select("r", "blocks", "v1", "v2"), found, "r", "c").join(crowd.withColumn("x", F.lit(True)), "c", "left")
+    links = candidates(some.select("r", "c", F.coalesce("x", F.lit(False)).alias("x"), "blocks", "v1", "v2"), width, similarity, scratch)
     links = scratch.save(links.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("crowded").alias("crowded")), "links")
-    crowd = links.filter("crowded").select(F.col("a").alias("r")).unionByName(links.filter("crowded").select(F.col("b").alias("r"))).distinct()
-    links = links.filter("a <> b")
+    crowd = crowd.select(F.col("c").alias("r")).unionByName(links.filter("crowded").select(F.col("a").alias("r"))).distinct()
+    links = links.filter("NOT crowded")
     texts = scratch.save(texts_of(ends(links)), "texts")
     # a text's nearest: most groups hang together by these alone
     best = scratch.save(nearest(links), "nearest")

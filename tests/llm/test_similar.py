@@ -96,3 +96,29 @@ def test_near_pairs_in_a_crowd_of_similar_texts(spark, docs_of):
     groups = labels_of(texts)
     assert len(set(groups)) == 600
     check(similar.grouped(docs_of([*texts, *made(5, 200, 2)])).filter(F.col("doc_id") < len(texts)).collect(), texts)
+
+
+def test_candidates_of_a_cloud_follow_its_texts_not_its_pairs(spark, docs_of, monkeypatch):
+    """Copies of one text with 0 to 15 of 150 words replaced: some hang together, the others are near many and a copy of none."""
+    rng = random.Random(8)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    base, texts = [f"t{i}" for i in range(150)], []
+    for _ in range(1_000):
+        w = list(base)
+        for i in rng.sample(range(150), rng.randint(0, 15)):
+            w[i] = next(fresh)
+        texts.append(" ".join(w))
+    seen, candidates, prefix_pairs = [], similar.candidates, similar.prefix_pairs
+
+    def counted(make):
+        def run(*args, **options):
+            out = make(*args, **options)
+            seen.append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(similar, "candidates", counted(candidates))
+    monkeypatch.setattr(similar, "prefix_pairs", counted(prefix_pairs))
+    check(similar.grouped(docs_of(texts)).collect(), texts)
+    assert sum(seen) <= 30 * len(texts), seen
