@@ -175,7 +175,7 @@ def bm25_ext_filtered(spark, sf_dir):
 
 @registered(with_queries(TOP.format(3), ITEMS))
 def batched_bm25(spark, sf_dir):
-    return shown(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir)), items(spark, sf_dir)), 3))
+    return shown(search.top(corpus.documents(spark, sf_dir), items(spark, sf_dir), 3))
 
 
 @registered()
