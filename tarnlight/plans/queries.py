@@ -521,8 +521,8 @@ def stem_vocabulary(spark, sf_dir):
 @registered()
 def packet_evidence(spark, sf_dir):
     """Evidence for each benchmark item: fused search, existence, floor, two per source, budget."""
-    chunks, asked = chunks_of(spark, sf_dir), items(spark, sf_dir)
-    pool = search.with_text(search.search(chunks, asked, 40, flagged=True), chunks)
+    docs, asked = corpus.documents(spark, sf_dir), items(spark, sf_dir)
+    pool = search.with_text(search.search(docs, asked, 40, flagged=True), docs)
     terms = asked.select("query_id", F.array_distinct(T.content_terms(F.col("query"))).alias("wanted"))
     pool = evidence.existing(pool.withColumn("stems", porter.stem_lists(F.array_distinct(T.tokens(F.col("text"))))), terms.select("query_id", porter.stem_lists("wanted").alias("wanted")))
     pool = evidence.per_source(evidence.above_floor(pool), [F.col("rank")]).join(asked, "query_id").join(terms, "query_id")
