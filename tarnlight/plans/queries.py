@@ -185,8 +185,7 @@ def bm25_stem_topk(spark, sf_dir):
 
 @registered()
 def dual_fusion_topk(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    return shown(search.search(chunks, items(spark, sf_dir), 8, flagged=True))
+    return shown(search.search(corpus.documents(spark, sf_dir), items(spark, sf_dir), 8, flagged=True))
 
 
 @registered()
