@@ -180,7 +180,7 @@ def batched_bm25(spark, sf_dir):
 
 @registered()
 def bm25_stem_topk(spark, sf_dir):
-    return shown(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir), True), items(spark, sf_dir)), 8))
+    return shown(search.top(corpus.documents(spark, sf_dir), items(spark, sf_dir), 8, stemmed=True))
 
 
 @registered()
