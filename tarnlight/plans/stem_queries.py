@@ -41,7 +41,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 ))
 def dual_fusion_unflagged(spark, sf_dir):
     """Both spaces fused, without the flags of values, which SQL can't read."""
-    return Q.shown(search.search(Q.chunks_of(spark, sf_dir), Q.items(spark, sf_dir), 8))
+    return Q.shown(search.search(corpus.documents(spark, sf_dir), Q.items(spark, sf_dir), 8))
 
 
 Q.sql["cache_scorer"] = f"""WITH {DOCS}, q AS (SELECT unnest({WORDS.format(f"'{QUERY}'")}) AS word), t AS (SELECT rel, 1 AS inside, unnest({WORDS.format('text')}) AS word FROM docs UNION ALL SELECT rel, 0, unnest({WORDS.format('rel')}) FROM docs),
