@@ -235,7 +235,7 @@ def relevance_floor(spark, sf_dir):
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank FROM ranks WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY query_id, rel ORDER BY rank) <= 2", ITEMS))
 def per_source_cap(spark, sf_dir):
-    return evidence.per_source(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir)), items(spark, sf_dir)), 40), [F.col("rank")]).select("query_id", "rel", "chunk_index", "rank")
+    return evidence.per_source(search.top(corpus.documents(spark, sf_dir), items(spark, sf_dir), 40), [F.col("rank")]).select("query_id", "rel", "chunk_index", "rank")
 
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM (SELECT *, min(CASE WHEN used > 3000 AND rank > 1 THEN rank END) OVER (PARTITION BY query_id) AS over FROM (SELECT query_id, rel, chunk_index, rank, 80 + sum((length(text) + 3) // 4 + 12) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranks JOIN chunks USING (rel, chunk_index) WHERE rank <= 40)) WHERE over IS NULL OR rank < over", ITEMS))
