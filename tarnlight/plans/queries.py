@@ -214,8 +214,8 @@ WANTED = f"wanted AS (SELECT item_id AS query_id, list_distinct([x for x in {WOR
 
 @registered(with_queries(f"SELECT query_id, rel, chunk_index, rank FROM (SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank, score FROM ranks WHERE rank <= 40) JOIN (SELECT rel, chunk_index, {WORDS.format('text')} AS ws FROM chunks) USING (rel, chunk_index) JOIN wanted USING (query_id) WHERE CASE WHEN len(wanted) = 0 THEN score >= 0.01 ELSE list_has_any(ws, wanted) END", ITEMS).replace(f"), {CHUNKS[:4]}", f"), {WANTED}, {CHUNKS[:4]}", 1))
 def existence_filter(spark, sf_dir):
-    chunks, asked = chunks_of(spark, sf_dir), items(spark, sf_dir)
-    pool = search.with_text(search.ranked(search.bm25(search.space(chunks), asked), 40), chunks).withColumn("stems", T.tokens(F.col("text")))
+    docs, asked = corpus.documents(spark, sf_dir), items(spark, sf_dir)
+    pool = search.with_text(search.top(docs, asked, 40), docs).withColumn("stems", T.tokens(F.col("text")))
     terms = asked.select("query_id", F.array_distinct(T.content_terms(F.col("query"))).alias("wanted"))
     return evidence.existing(pool, terms).select("query_id", "rel", "chunk_index", "rank")
 
