@@ -222,8 +222,8 @@ def existence_filter(spark, sf_dir):
 
 @registered(with_queries(f"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(wanted) AS term FROM wanted) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, unnest(ws) AS term FROM ranks JOIN (SELECT rel, chunk_index, {WORDS.format('text')} AS ws FROM chunks) USING (rel, chunk_index) WHERE rank <= 3) b WHERE b.query_id = a.query_id AND b.term = a.term)", ITEMS).replace(f"), {CHUNKS[:4]}", f"), {WANTED}, {CHUNKS[:4]}", 1))
 def missing_terms(spark, sf_dir):
-    chunks, asked = chunks_of(spark, sf_dir), items(spark, sf_dir)
-    pool = search.with_text(search.ranked(search.bm25(search.space(chunks), asked), 3), chunks).select("query_id", T.tokens(F.col("text")).alias("stems"))
+    docs, asked = corpus.documents(spark, sf_dir), items(spark, sf_dir)
+    pool = search.with_text(search.top(docs, asked, 3), docs).select("query_id", T.tokens(F.col("text")).alias("stems"))
     terms = asked.select("query_id", F.explode(T.content_terms(F.col("query"))).alias("term")).withColumn("stem", F.col("term"))
     return evidence.missing_terms(terms, pool)
 
