@@ -230,7 +230,7 @@ def missing_terms(spark, sf_dir):
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ranks WHERE rank <= 40) WHERE top <= 0.01 OR score >= 0.15::DOUBLE * top", ITEMS))
 def relevance_floor(spark, sf_dir):
-    return evidence.above_floor(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir)), items(spark, sf_dir)), 40)).select("query_id", "rel", "chunk_index", "rank")
+    return evidence.above_floor(search.top(corpus.documents(spark, sf_dir), items(spark, sf_dir), 40)).select("query_id", "rel", "chunk_index", "rank")
 
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank FROM ranks WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY query_id, rel ORDER BY rank) <= 2", ITEMS))
