@@ -240,8 +240,8 @@ def per_source_cap(spark, sf_dir):
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM (SELECT *, min(CASE WHEN used > 3000 AND rank > 1 THEN rank END) OVER (PARTITION BY query_id) AS over FROM (SELECT query_id, rel, chunk_index, rank, 80 + sum((length(text) + 3) // 4 + 12) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranks JOIN chunks USING (rel, chunk_index) WHERE rank <= 40)) WHERE over IS NULL OR rank < over", ITEMS))
 def budget_pack(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    pool = search.with_text(search.ranked(search.bm25(search.space(chunks), items(spark, sf_dir)), 40), chunks)
+    docs = corpus.documents(spark, sf_dir)
+    pool = search.with_text(search.top(docs, items(spark, sf_dir), 40), docs)
     pool = pool.select("query_id", "rel", "chunk_index", "rank", evidence.excerpt_cost(F.col("text")).alias("cost"))
     return evidence.packed(pool, [F.col("rank")], 3000).select("query_id", "rel", "chunk_index", "rank", F.col("used").cast("long").alias("used"))
 
