@@ -169,8 +169,7 @@ def bm25_phrase(spark, sf_dir):
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM ranks WHERE contains(rel, '/en/') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8", f"SELECT 0 AS query_id, '{QUERY}' AS query"))
 def bm25_ext_filtered(spark, sf_dir):
-    scored = search.bm25(search.space(chunks_of(spark, sf_dir)), one(spark, QUERY))
-    return shown(search.ranked(search.restricted(scored, folder="/EN/", types={".txt"}), 8))
+    return shown(search.top(corpus.documents(spark, sf_dir), one(spark, QUERY), 8, folder="/EN/", types={".txt"}))
 
 
 @registered(with_queries(TOP.format(3), ITEMS))
