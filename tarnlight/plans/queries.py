@@ -164,7 +164,7 @@ def bm25_exact_topk(spark, sf_dir):
 
 @registered(with_queries(TOP.format(8), f"SELECT 0 AS query_id, '{PHRASE_QUERY}' AS query"))
 def bm25_phrase(spark, sf_dir):
-    return shown(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir)), one(spark, PHRASE_QUERY)), 8))
+    return shown(search.top(corpus.documents(spark, sf_dir), one(spark, PHRASE_QUERY), 8))
 
 
 @registered(with_queries("SELECT query_id, rel, chunk_index, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM ranks WHERE contains(rel, '/en/') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8", f"SELECT 0 AS query_id, '{QUERY}' AS query"))
