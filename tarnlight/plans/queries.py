@@ -159,7 +159,7 @@ def corpus_stats(spark, sf_dir):
 
 @registered(with_queries(TOP.format(8), f"SELECT 0 AS query_id, '{QUERY}' AS query"))
 def bm25_exact_topk(spark, sf_dir):
-    return shown(search.ranked(search.bm25(search.space(chunks_of(spark, sf_dir)), one(spark, QUERY)), 8))
+    return shown(search.top(corpus.documents(spark, sf_dir), one(spark, QUERY), 8))
 
 
 @registered(with_queries(TOP.format(8), f"SELECT 0 AS query_id, '{PHRASE_QUERY}' AS query"))
@@ -530,6 +530,6 @@ def packet_evidence(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """The best eight chunks for a query, with snippets."""
-    chunks = chunks_of(spark, sf_dir)
-    hits = search.with_text(search.ranked(search.bm25(search.space(chunks), one(spark, QUERY)), 8), chunks)
+    docs = corpus.documents(spark, sf_dir)
+    hits = search.with_text(search.top(docs, one(spark, QUERY), 8), docs)
     return hits.select("rank", "rel", "chunk_index", F.round("score", 4).alias("score"), T.snippet(F.col("text"), F.lit(QUERY), F.array(*map(F.lit, search.words_of(QUERY)))).alias("snippet"))
