@@ -77,8 +77,8 @@ def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def pool(spark: SparkSession, sf_dir: str, rows: DataFrame, limit: int) -> DataFrame:
-    chunks = Q.chunks_of(spark, sf_dir)
-    found = search.with_text(search.ranked(search.bm25(search.space(chunks), rows), limit), chunks)
+    docs = corpus.documents(spark, sf_dir)
+    found = search.with_text(search.top(docs, rows, limit), docs)
     return found.withColumn("stems", porter.stem_lists(F.array_distinct(T.tokens(F.col("text")))))
 
 
