@@ -80,3 +80,12 @@ def test_values_are_found_as_without_shortcuts():
 
 def test_stems_of_words_that_no_step_changes():
     assert [porter.stem(w, False) for w in ("thention", "blerest", "hopping", "ponies", "syzygy", "controll", "abc", "relational")] == ["thention", "blerest", "hop", "poni", "syzygi", "control", "abc", "relat"]
+
+
+def test_pools_by_stem_are_scanned(spark, sf):
+    """Both queries that take their pool by ``stem_queries.pool`` rank it without joining words with queries."""
+    from tarnlight.plans import stem_queries
+
+    asked = stem_queries.asked(spark, sf)[0]
+    plan = stem_queries.pool(spark, sf, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
