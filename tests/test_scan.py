@@ -82,6 +82,22 @@ def test_stems_of_words_that_no_step_changes():
     assert [porter.stem(w, False) for w in ("thention", "blerest", "hopping", "ponies", "syzygy", "controll", "abc", "relational")] == ["thention", "blerest", "hop", "poni", "syzygi", "control", "abc", "relat"]
 
 
+def test_vectors_of_all_kinds_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 3)
+    monkeypatch.setattr(vectors, "ROWS", 11)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.1, 0.3, -0.7, 1.1]) for _ in range(4)]) for i in range(90)]
+    rows += [(100 + i, [0.1, 0.2, 0.3, 0.4]) for i in range(40)] + [(200, None), (201, [9.0]), (202, [1.0, None, 1.0, 1.0]), (203, []), (204, [1e3, 1e3, 1e3, 1e3, 1e3])]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(2)
+    asked = spark.createDataFrame([(i, x) for i, x in rows[::13]] + [(500, [2.0]), (501, None)], "query_id long, q array<double>")
+    joined = v.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", vectors.E.dot(F.col("q"), F.col("vector")).alias("score"))
+    best = {}
+    for q, i, s in joined.collect():
+        best.setdefault(q, []).append((s is None, -(s or 0), i, s))
+    want = {(q, i, s, k + 1) for q, found in best.items() for k, (_, _, i, s) in enumerate(sorted(found)[:5])}
+    assert {tuple(r) for r in vectors.top_k(v, asked, "vec_id", 5).collect()} == want
+
+
 def test_pools_by_stem_are_scanned(spark, sf):
     """Both queries that take their pool by ``stem_queries.pool`` rank it without joining words with queries."""
     from tarnlight.plans import stem_queries
