@@ -507,7 +507,7 @@ def hash_embed(spark, sf_dir):
 
 @registered()
 def semantic_topk(spark, sf_dir):
-    return vectors.semantic_search(vectors.build(corpus.documents(spark, sf_dir)), QUERY)
+    return vectors.semantic_search(vectors.build(corpus.documents(spark, sf_dir), saying=QUERY), QUERY)
 
 
 @registered()

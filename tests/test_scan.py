@@ -82,6 +82,13 @@ def test_stems_of_words_that_no_step_changes():
     assert [porter.stem(w, False) for w in ("thention", "blerest", "hopping", "ponies", "syzygy", "controll", "abc", "relational")] == ["thention", "blerest", "hop", "poni", "syzygi", "control", "abc", "relat"]
 
 
+def test_semantic_search_embeds_what_it_can_find(spark):
+    df = texts(spark, ["liability cap here and more", "nothing of the kind", "the cap"])
+    whole, some = (vectors.build(df, **k) for k in ({}, {"saying": "liability cap"}))
+    assert some.count() == 2 and whole.count() == 3
+    assert vectors.semantic_search(some, "liability cap").collect() == vectors.semantic_search(whole, "liability cap").collect()
+
+
 def test_vectors_of_all_kinds_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 3)
     monkeypatch.setattr(vectors, "ROWS", 11)
