@@ -52,15 +52,11 @@ def triggered(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     return queries.crossJoin(F.broadcast(aliases.select("group_id", F.col("stems").alias("p")))).filter(hit).select("query_id", "group_id").distinct()
 
 
-def phrase_in(stems: Column, phrase: Column) -> Column:
-    """Whether a phrase is a run of ``stems``."""
-    n = F.size(phrase)
-    return F.when((n > 0) & (F.size(stems) >= n), F.exists(F.sequence(F.lit(1), F.size(stems) - n + 1), lambda i: F.slice(stems, i, n) == phrase)).otherwise(F.lit(False))
-
-
 def said_in(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``rel, group_id`` of ``texts(rel, stems)``: a phrase of the group stands in the text, word after word."""
-    return texts.crossJoin(F.broadcast(aliases.select("group_id", F.col("stems").alias("p")))).filter(phrase_in(F.col("stems"), F.col("p"))).select("rel", "group_id").distinct()
+    """``rel, group_id`` of ``texts(rel, stems)``: a phrase of the group stands in the text, word after word. No word holds a blank."""
+    line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    phrases = aliases.filter(F.size("stems") > 0).select("group_id", line(F.col("stems")).alias("p"))
+    return texts.select("rel", line(F.col("stems")).alias("line")).crossJoin(F.broadcast(phrases)).filter(F.col("line").contains(F.col("p"))).select("rel", "group_id").distinct()
 
 
 def existing(candidates: DataFrame, terms: DataFrame) -> DataFrame:

@@ -82,6 +82,14 @@ def test_stems_of_words_that_no_step_changes():
     assert [porter.stem(w, False) for w in ("thention", "blerest", "hopping", "ponies", "syzygy", "controll", "abc", "relational")] == ["thention", "blerest", "hop", "poni", "syzygi", "control", "abc", "relat"]
 
 
+def test_a_phrase_is_a_run_of_words(spark):
+    t = spark.createDataFrame([("a", ["xx", "the", "of"]), ("b", ["the", "xx", "of"]), ("c", ["bathe", "of"]), ("d", [])], "rel string, stems array<string>")
+    a = spark.createDataFrame([(0, "p", ["the", "of"]), (1, "q", []), (2, "r", ["xx"])], "group_id int, phrase string, stems array<string>")
+    assert {tuple(r) for r in evidence.said_in(t, a).collect()} == {("a", 0), ("a", 2), ("b", 2)}
+    plan = evidence.said_in(t, a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan.lower()
+
+
 def test_semantic_search_embeds_what_it_can_find(spark):
     df = texts(spark, ["liability cap here and more", "nothing of the kind", "the cap"])
     whole, some = (vectors.build(df, **k) for k in ({}, {"saying": "liability cap"}))
