@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import embed, facts, porter, values
 from tarnlight.functions import text as T
-from tarnlight.operators import evidence, inventory, reports, search, vectors
+from tarnlight.operators import evidence, inventory, reports, scan, search, vectors
 from tarnlight.sources import corpus
 
 QUERY, PHRASE_QUERY = "ered thention blerest oningen", "of-the erblest thention"
@@ -149,7 +149,7 @@ def conversation_docs(spark, sf_dir):
 
 @registered(f"WITH {CHUNKS}, lists AS (SELECT rel, chunk_index, {TERMS.format('text')} AS ts FROM chunks), words AS (SELECT rel, chunk_index, unnest(ts) AS term FROM lists) SELECT term, count(DISTINCT rel || '#' || chunk_index) AS df, count(*) AS cf FROM words GROUP BY term")
 def vocab_df(spark, sf_dir):
-    return search.postings(chunks_of(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return scan.vocabulary(corpus.documents(spark, sf_dir))
 
 
 @registered(f"WITH {CHUNKS}, lens AS (SELECT len({TERMS.format('text')}) AS dl FROM chunks) SELECT count(*) AS n_chunks, round(avg(dl), 6) AS avgdl FROM lens")

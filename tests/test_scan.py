@@ -70,6 +70,13 @@ def test_filters_keep_the_statistics(spark):
     assert {r["rel"]: r["score"] for r in search.top(df, asked, 99, folder="3.TXT").collect()} == {k: v for k, v in every.items() if k.endswith("3.txt")}
 
 
+def test_vocabulary_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(scan, "KNOWN", 3)
+    monkeypatch.setattr(scan, "CHUNKS", 2)
+    got = {r["term"]: (r["df"], r["cf"]) for r in scan.vocabulary(texts(spark, ["aa bb aa", "bb cc dd ee", "aa ff", None, "gg aa bb"])).collect()}
+    assert got == {"aa": (3, 4), "bb": (3, 3), "cc": (1, 1), "dd": (1, 1), "ee": (1, 1), "ff": (1, 1), "gg": (1, 1)}
+
+
 def test_values_are_found_as_without_shortcuts():
     some = ["as the Vendor", "Acme Ltd, as the Vendor", "(the Vendor)", 'Acme Corp (the "Vendor")', "x_ltd as the y", "Acme-Ltd as the y", "a@b.cd", "no at all", "٣ days", "clause 4", "Big Co. as the Buyer", "x́Ltd as the Vendor", "Vendor: Acme Ltd"]
     for t in some:
