@@ -325,7 +325,7 @@ def authority_hint(spark, sf_dir):
 
 @registered()
 def has_value(spark, sf_dir):
-    return chunks_of(spark, sf_dir).select("rel", "chunk_index", values.value_flags("text").alias("has_value"))
+    return scan.flags(corpus.documents(spark, sf_dir))
 
 
 @registered()
