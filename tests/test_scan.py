@@ -97,6 +97,16 @@ def test_a_phrase_is_a_run_of_words(spark):
     assert "exists(" not in plan.lower()
 
 
+def test_batches_of_vectors_are_single_vectors(spark):
+    from tarnlight.functions import embed
+
+    some = ["The cap, the cap of 4-5 x_y", "", "éa b c  dd", None]
+    got = embed.embedded.func(pa.array(some)).to_pylist()
+    assert got[3] is None and [v for v in got if v] == [embed.embed(t) for t in some if t is not None]
+    assert embed.words("a-b  cc _d-e f") == ["a-b", "cc", "d-e"] and embed.grams("abcdefgh") == ["abcde", "defgh"]
+    assert embed.embed("the cap") == embed.embed("THE CAP") and abs(sum(x * x for x in got[0]) - 1) < 1e-4
+
+
 def test_semantic_search_embeds_what_it_can_find(spark):
     df = texts(spark, ["liability cap here and more", "nothing of the kind", "the cap"])
     whole, some = (vectors.build(df, **k) for k in ({}, {"saying": "liability cap"}))
