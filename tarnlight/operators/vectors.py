@@ -16,7 +16,7 @@ from tarnlight.operators import scan
 
 LEAST, KEPT_TEXT = 5, 500
 #: Queries that are searched at once, at most; they are broadcast. Queries and vectors that are multiplied at once.
-BLOCK, TILE, ROWS = 10_000, 500, 1_000
+BLOCK, TILE, ROWS = 1_000, 500, 1_000
 
 
 def admitted(texts: DataFrame) -> DataFrame:
@@ -63,13 +63,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, limit: int = 8) -> D
     odd_v, odd_q = vectors.filter(~even_v), queries.filter(~even_q)
     even = vectors.filter(even_v).select(key, F.col("vector").cast("array<double>").alias("vector"))
     blocks = 1 if n <= BLOCK else -(-n * 2 // BLOCK)  # half full on average, as hashing doesn't deal evenly
-    parts = []
+    parts, some_odd = [], not odd_v.isEmpty()
     for i in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
         rows = some.filter(even_q).select("query_id", F.col("q").cast("array<double>").alias("q")).collect()  # BLOCK at most, more or less
         if rows:
             parts.append(scan.bounded(even).mapInArrow(nearest([r["query_id"] for r in rows], np.array([r["q"] for r in rows]), limit, schema), schema))
-        if not odd_v.isEmpty():
+        if some_odd:
             parts.append(one_by_one(odd_v, some))
     if not odd_q.isEmpty():
         parts.append(one_by_one(vectors.filter(even_v), odd_q))
